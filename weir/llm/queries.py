@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weir.llm import mixing
+from weir.llm import decontamination, langid, mixing, pii, simhash, toxicity, urls, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,3 +27,56 @@ def query(f: Query) -> Query:
 def op1_mix_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, cap=2.0)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+@query
+def op2_decontaminate_cgk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the benchmark items that it holds a passage of."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"), similarity=0.8, recall=0.95, least_words=5)
+    return found.select("doc_id", "contaminated", "items")
+
+
+#: What op3 is told about hosts and paths.
+URL_RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+
+
+@query
+def op3_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query
+def op4_toxicity_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's expected severity; ``rejected`` are those more likely toxic than not."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), sample_rows=12_000)
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", "severity", "p_toxic", "grade", (F.col("p_toxic") > 0.5).alias("rejected"))
+
+
+@query
+def op6_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op7_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text with pseudonyms for private values."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, key="weir-test-key").select("doc_id", "text", F.col("n_private").cast("long").alias("n_private"))
+
+
+@query
+def op8_embedding_sorted_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+@query
+def op10_language_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False)).alias("held_out")
+    docs = docs.select("doc_id", "text", "lang", held_out)
+    langs, matrix = langid.fit(docs.filter(~F.col("held_out")), sample_rows=20_000)
+    return langid.predict(docs.drop("lang"), langs, matrix).select("doc_id", "held_out", "lang_pred", "score")
