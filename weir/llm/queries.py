@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weir.llm import decontamination, langid, mixing, pii, simhash, toxicity, urls, vectors
+from weir.llm import decontamination, fingerprint_index, langid, mixing, pii, repeats, simhash, suffixes, toxicity, urls, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -55,6 +55,20 @@ def op4_toxicity_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "severity", "p_toxic", "grade", (F.col("p_toxic") > 0.5).alias("rejected"))
 
 
+def _removed(spans: str = "spans"):
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+
+
+@query
+def op5_substring_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = fingerprint_index.repeated_words(docs, length=35)
+    marked = marked.select("key", _removed().alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    words = F.coalesce(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), F.array().cast("array<string>"))
+    whole = docs.select("doc_id", repeats.text_key().alias("key"), words.alias("words")).select("doc_id", "key", F.size("words").cast("long").alias("n_words"), F.sha2(F.array_join("words", " ").cast("binary"), 256).alias("whole"))
+    return whole.join(marked, "key", "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
+
+
 @query
 def op6_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
@@ -73,6 +87,17 @@ def op8_embedding_sorted_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+@query
+def op9_suffix_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = suffixes.repeated_bytes(docs, length=400)
+    marked = marked.select("key", _removed().alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    data = F.coalesce("text", F.lit("")).cast("binary")
+    whole = docs.select("doc_id", repeats.text_key().alias("key"), F.octet_length(data).cast("long").alias("n_bytes"), F.sha2(data, 256).alias("whole"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return whole.join(marked, "key", "left").select("doc_id", "n_bytes", zero("n_removed"), zero("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
+
+
 @query
 def op10_language_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
