@@ -16,13 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query, and its SQL if it has any."""
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name, and its SQL if it has any."""
 
     def add(f: Query) -> Query:
-        QUERIES[name] = f
+        QUERIES[f.__name__] = f
         if sql:
-            ORACLES[name] = sql
+            ORACLES[f.__name__] = sql
         return f
 
     return add
