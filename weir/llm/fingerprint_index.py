@@ -13,10 +13,8 @@ lose all that is at least a window long; an empty batch adds an empty run; other
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +38,9 @@ class FingerprintIndex:
         """Add a batch as a run; ``gram`` of its fingerprints that occur elsewhere, in it or in a run before it."""
         run = self._written(grams.groupBy("gram").agg(F.count("*").alias("n")))
         met = [run.join(old.hint("merge"), "gram", "left_semi").select("gram") for old in self.runs()]
-        self._put(run, 0)
-        return reduce(DataFrame.unionByName, met, run.filter("n > 1").select("gram")).distinct()
+        met = durable(reduce(DataFrame.unionByName, met, run.filter("n > 1").select("gram")).distinct(), "met")
+        self._put(run, 0)  # may compact the runs that were met
+        return met
 
     def repeated(self) -> DataFrame:
         """``gram`` of all fingerprints that occur more than once in the index."""
@@ -51,7 +50,7 @@ class FingerprintIndex:
         return reduce(DataFrame.unionByName, runs).groupBy("gram").agg(F.sum("n").alias("n"))
 
     def _written(self, run: DataFrame) -> DataFrame:
-        return durable(run.repartition("gram").sortWithinPartitions("gram"), "run")
+        return durable(run.sortWithinPartitions("gram"), "run")  # a grouping's result: each gram is in one file
 
     def _put(self, run: DataFrame, level: int) -> None:
         if len(self.levels) == level:
@@ -68,25 +67,19 @@ class FingerprintIndex:
 def repeated_words(docs: DataFrame, length: int = 35, gram: int = 10, batches: int = 3) -> DataFrame:
     """``key, spans, kept``: per distinct text with repeated windows (key: its SHA-256), the word spans and the words left.
 
-    The table is taken as ``batches`` that arrive one after the other; when all are in, windows of early batches are judged by the
-    whole index too.
+    The table is taken as ``batches`` that arrive one after the other. A fingerprint that a batch meets is repeated in the
+    batch and in what came before, so when all are in, windows of early batches are judged by all that came later too.
     """
-    kind = repeats.Kind("words", length, min(gram, length))
+    kind = repeats.Kind("words", length, min(gram, length), width=4)
     batch = F.pmod(F.xxhash64("key"), F.lit(batches)).alias("batch")
     found = durable(repeats.anchors(docs, kind).select("*", batch), "fingerprints")
     index = FingerprintIndex()
-    for b in range(batches):
-        index.add(found.filter(F.col("batch") == b).select("gram"))
-    marked = repeats.confirm(docs, repeats.repeated_places(found, index.repeated()), kind)
+    met = [index.add(found.filter(F.col("batch") == b).select(F.col("core").alias("gram"))) for b in range(batches)]
+    again = reduce(DataFrame.unionByName, met).distinct().withColumnRenamed("gram", "core")
+    marked = repeats.confirm(docs, repeats.sharing(found.drop("batch"), durable(again, "met-in-all")), kind, lambda text, spans: " ".join(without(WORD.findall(text), spans)).encode())
+    return marked.withColumn("kept", F.col("kept").cast("string"))
 
-    @F.pandas_udf("string")
-    def kept(series: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, spans in series:
-            yield pd.Series([" ".join(without(WORD.findall(t), s)) for t, s in zip(texts, spans)])
 
-    return marked.select("key", "spans", kept("text", "spans").alias("kept"))
-
-
-def without(words: list[str], spans: list[dict]) -> list[str]:
-    ends = [0, *(s["stop"] for s in spans)]
-    return [w for a, b in zip(ends, [*(s["start"] for s in spans), len(words)]) for w in words[a:b]]
+def without(words: list[str], spans: list[tuple[int, int]]) -> list[str]:
+    ends = [0, *(b for _, b in spans)]
+    return [w for a, b in zip(ends, [*(a for a, _ in spans), len(words)]) for w in words[a:b]]

@@ -1,32 +1,29 @@
 """Repeated windows of a fixed number of tokens (bytes or words), shared by the two substring operators.
 
 A window is sorted by its digits, the most telling first. The first digit is the gram of the window with the least
-hash: equal windows have the same one at the same place, and one gram serves many windows, so the first pass sorts a
-small sample of all places and drops what is unique (``anchors``). Only windows whose first digit repeats go on to the
-rest of their tokens (``confirm``). There, equal windows within a batch of texts are one row before anything is shuffled, so a
-passage that very many texts share costs a row per batch, and each batch is told which of its windows repeat.
-Windows are named by 128 bits of two polynomial hashes.
-
-Equal texts are one text with a count from the start.
+hash: equal windows have the same one at the same place, and one gram serves a run of windows, so the first pass sorts
+one row for each run (``anchors``) and drops the runs whose digit is unique. A run that is there twice as a whole is
+settled: all its windows repeat. Only runs that share their digit with others but not the whole, as at the edges of a
+repeated passage, are cut into narrower classes of windows, which have a longer digit in common, and of those the ones
+that are still open into single windows (``confirm``). All steps are counts and joins over rows of a few bytes; a passage
+that very many texts share is counted before the shuffle. Windows are named by 128 bits of two polynomial hashes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weir.plans.durable import durable
+from weir.plans.durable import discard, durable
 
 #: Tokens handled at once, and the bits that number their places.
 CHUNK, PLACE_BITS = 1 << 20, 21
-#: Windows of a batch of texts, and names in a bucket, about.
-BATCH, BUCKET = 4 << 20, 2 << 20
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _bytes = np.random.default_rng(2024).integers(0, 1 << 63, (2, 256), np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -68,11 +65,20 @@ def slices(total: np.ndarray, base: int, at: np.ndarray | slice, ends: np.ndarra
 
 @dataclass(frozen=True)
 class Kind:
-    """unit: bytes or words; length: tokens of a window; gram: tokens of the first digit."""
+    """unit: bytes or words; length: tokens of a window; gram: tokens of the first digit; width: windows of a class."""
 
     unit: str
     length: int
     gram: int
+    width: int
+
+    def load(self, text: str) -> np.ndarray:
+        """A text's tokens in a compact form; ``values`` gives the tokens of a part of it."""
+        data = text.encode()
+        return np.frombuffer(data, np.uint8) if self.unit == "bytes" else word_hashes(data)[1]
+
+    def values(self, part: np.ndarray) -> np.ndarray:
+        return _bytes[0][part] if self.unit == "bytes" else part
 
     def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """64-bit tokens of the texts one after the other, and how many each has."""
@@ -173,149 +179,171 @@ def least_grams(kind: Kind, piece: Piece) -> tuple[np.ndarray, np.ndarray]:
     return (np.minimum(rest[s], begin[s + w - 1]) & places).astype(np.int64), hashes
 
 
-def names(kind: Kind, piece: Piece, starts: np.ndarray) -> list[np.ndarray]:
-    """The two 64-bit names of the windows that start there."""
-    return [slices(sums(piece.tokens, b), b, starts, starts + kind.length) for b in BASES]
-
-
 def text_key(text: str = "text"):
     return F.unhex(F.sha2(F.col(text).cast("binary"), 256))
 
 
+def short_key():
+    """16 bytes that stand for a text within the passes here."""
+    return F.substring(text_key(), 1, 16).alias("key")
+
+
 def anchors(docs: DataFrame, kind: Kind) -> DataFrame:
-    """``key, place, gram``: the first digits of all windows of the texts. A gram may come twice from a very long text."""
+    """``key, place, start, stop, core, block``: a row for each run of windows of a text that share their first digit.
+
+    place: of the gram; start, stop: of the run's tokens; core: the first digit; block: a hash of all of the run.
+    """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, texts = batch.column("key"), batch.column("text").to_pylist()
             for piece in pieces(kind, texts):
-                if not len(piece.starts):
+                s = piece.starts
+                if not len(s):
                     continue
                 least, hashes = least_grams(kind, piece)
-                at = np.unique(least)
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(piece.text[at])), pa.array(piece.place(at)), pa.array(hashes[at].view(np.int64))], ["key", "place", "gram"])
+                cut = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (s[1:] != s[:-1] + 1)]))
+                lo, hi, at = s[cut], s[np.append(cut[1:], len(s)) - 1], least[cut]
+                block = run_hash(sums(piece.tokens, BASES[1]), at, lo, hi + kind.length)
+                numbers = [piece.place(at), piece.place(lo), piece.place(hi) + kind.length, hashes[at].view(np.int64), block.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(piece.text[lo])), *map(pa.array, numbers)], ["key", "place", "start", "stop", "core", "block"])
+
+    return docs.filter("text is not null").select(short_key(), "text").mapInArrow(find, "key binary, place long, start long, stop long, core long, block long")
+
+
+def sharing(found: DataFrame, cores: DataFrame) -> DataFrame:
+    """The rows of ``found`` whose core is in ``cores``, as a table in place of ``found``."""
+    rows = durable(found.join(cores.select("core"), "core", "left_semi"), "runs")
+    discard(found)
+    return rows
+
+
+def run_hash(total: np.ndarray, at: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hashes of runs of tokens with the place of the gram in them."""
+    return mixed(slices(total, BASES[1], start, stop) + (at - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (stop - start).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def settle(rows: DataFrame, more: list[str], name: str) -> DataFrame:
+    """What of ``rows`` (key, start, stop, core, block, weight and ``more``) repeats as a whole (``hit``) and what has to be looked at closer (``open``).
+
+    Rows with the same core may share windows. If the whole block is there twice, so are all its windows. A core with several blocks,
+    one of them single, stays open, with one row of each block.
+    """
+    which = F.xxhash64("key", "start")
+    blocks = durable(rows.groupBy("core", "block").agg(F.sum("weight").alias("n"), F.min(which).alias("one")), f"{name}-blocks")
+    several = blocks.groupBy("core").agg(F.count("*").alias("m"), F.count_if(F.col("n") == 1).alias("single"))
+    several = durable(several.filter("m > 1 and single > 0").select("core", F.lit(True).alias("mixed")), f"{name}-mixed")
+    told = blocks.join(several, "core", "left").filter("n > 1 or mixed")
+    told = durable(told.select("core", "block", F.col("n").alias("n_same"), "one", F.coalesce("mixed", F.lit(False)).alias("mixed")), f"{name}-told")
+    met = rows.join(told, ["core", "block"])
+    is_open = F.col("mixed") & (which == F.col("one"))
+    met = met.withColumn("hit", (F.col("n_same") > 1) & (F.col("weight") == 1)).withColumn("open", is_open).filter("hit or open")
+    kept = [F.when(F.col("open"), F.col(c)).alias(c) for c in more]
+    out = durable(met.select("key", "start", "stop", "core", "hit", "open", F.least("n_same", F.lit(2)).alias("weight"), *kept), f"{name}-settled")
+    for old in (blocks, several, told):
+        discard(old)
+    return out
 
-    return docs.filter("text is not null").select(text_key().alias("key"), "text").mapInArrow(find, "key binary, place long, gram long")
 
+def _classes(kind: Kind, rows: list[dict]) -> Iterator[pa.RecordBatch]:
+    """The open runs of some texts cut into classes of up to ``kind.width`` windows, by their distance from the gram.
 
-def repeated_places(found: DataFrame, repeated: DataFrame) -> DataFrame:
-    """``key, places``: per text the anchors whose gram is in ``repeated`` (column gram)."""
-    return found.join(repeated.select("gram"), "gram", "left_semi").groupBy("key").agg(F.collect_set("place").alias("places"))
+    All windows of a class have a stretch of tokens in common whatever run they are from: its hash is the core. ``names`` are 64-bit
+    hashes of the windows, packed in the order of their starts.
+    """
+    some: list[dict] = []
+    size = 0
+    for i, r in enumerate(rows):
+        some.append(r)
+        size += len(r["text"])
+        if size < CHUNK and i < len(rows) - 1:
+            continue
+        data = [kind.load(r["text"]) for r in some]
+        first = np.cumsum([0, *map(len, data)])[:-1]
+        data = np.concatenate(data)
+        owner = np.repeat(np.arange(len(some)), [len(r["open"]) for r in some])
+        runs = np.array([(x["place"], x["start"], x["stop"], x["weight"]) for r in some for x in r["open"]], np.int64).reshape(-1, 4)
+        runs[:, :3] += first[owner][:, None]
+        order = np.argsort(runs[:, 1], kind="stable")
+        runs, owner = runs[order], owner[order]
+        lo = 0
+        while lo < len(runs):
+            hi = int(np.searchsorted(runs[:, 1], runs[lo, 1] + CHUNK, "right"))
+            begin = int(runs[lo, 1])
+            yield _cut(kind, kind.values(data[begin : int(runs[lo:hi, 2].max())]), runs[lo:hi] - np.array([begin, begin, begin, 0]), owner[lo:hi], begin - first, some)
+            lo = hi
+        some, size = [], 0
 
 
-def _candidates(kind: Kind, rows: list[tuple[str, np.ndarray, int]]) -> Iterator[tuple[Piece, np.ndarray, np.ndarray]]:
-    """Pieces with the windows whose first digit repeats, and whether their text has copies. rows: text, places, copies."""
-    copied = np.array([c > 1 for _, _, c in rows])
-    sets = [np.sort(p) for _, p, _ in rows]
-    for piece in pieces(kind, [t for t, _, _ in rows]):
-        if not len(piece.starts):
-            continue
-        least, _ = least_grams(kind, piece)
-        at = np.unique(least)
-        own, place = piece.text[at], piece.place(at)
-        keep = np.zeros(len(at), bool)
-        for i in np.unique(own):
-            here = own == i if piece.base or len(at) < 64 else slice(*np.searchsorted(own, [i, i + 1]))
-            keep[here] = np.isin(place[here], sets[i])
-        marked = np.zeros(len(piece.tokens), bool)
-        marked[at[keep]] = True
-        all_copied = copied[piece.text[piece.starts]]
-        take = marked[least] | all_copied
-        yield piece, piece.starts[take], all_copied[take]
-
-
-def confirm(docs: DataFrame, places: DataFrame, kind: Kind) -> DataFrame:
-    """``key, text, spans``: texts with repeated windows, and the token spans ``[start, stop)`` that these cover."""
-    texts = docs.filter("text is not null").groupBy(text_key().alias("key")).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    texts = durable(texts.join(places, "key").withColumn("size", F.octet_length("text")), "texts")
-    total = texts.agg(F.sum("size")).first()[0] or 0
-    n_batches, n_buckets = total // BATCH + 1, total // BUCKET + 1
-    texts = texts.withColumn("batch", F.pmod(F.xxhash64("key"), F.lit(n_batches)))
-
-    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Distinct names of each batch of texts, packed by bucket, with whether one occurs more than once."""
-        rows: list[tuple[str, np.ndarray, int]] = []
-        now = None
-
-        def packed(batch: int) -> Iterator[pa.RecordBatch]:
-            one, two, many = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
-            for piece, starts, copied in _candidates(kind, rows):
-                h = names(kind, piece, starts)
-                one.append(h[0])
-                two.append(h[1])
-                many.append(copied)
-            one, two, many = np.concatenate(one), np.concatenate(two), np.concatenate(many)
-            order = np.argsort(one)
-            one, two, many = one[order], two[order], many[order]
-            new = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])[: len(one)])
-            counts = np.diff(np.append(new, len(one)))
-            many = np.logical_or.reduceat(many, new) | (counts > 1) if len(new) else many
-            one, two = one[new], two[new]
-            bucket = ((one >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)  # rises with the name
-            cuts = np.searchsorted(bucket, np.arange(n_buckets + 1, dtype=np.uint64))
-            for b in np.flatnonzero(np.diff(cuts)):
-                s = slice(cuts[b], cuts[b + 1])
-                yield pa.RecordBatch.from_pylist([{"bucket": int(b), "batch": batch, "one": one[s].tobytes(), "two": two[s].tobytes(), "many": np.packbits(many[s]).tobytes()}], schema)
-
-        schema = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("one", pa.binary()), ("two", pa.binary()), ("many", pa.binary())])
+def _cut(kind: Kind, tokens: np.ndarray, runs: np.ndarray, owner: np.ndarray, shift: np.ndarray, rows: list[dict]) -> pa.RecordBatch:
+    w, length = kind.width, kind.length
+    place, start, stop, weight = runs.T
+    near, far = place - (stop - length), place - start  # least and most distance of a window's start
+    each = far // w - near // w + 1
+    row = np.repeat(np.arange(len(runs)), each)
+    c = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each) + (near // w)[row]
+    e_lo, e_hi = np.maximum(c * w, near[row]), np.minimum(c * w + w - 1, far[row])
+    at = place[row]
+    one, two = sums(tokens, BASES[0]), sums(tokens, BASES[1])
+    core = mixed(slices(one, BASES[0], at - c * w, at - c * w - w + 1 + length) + (c + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    block = run_hash(two, at, at - e_hi, at - e_lo + length)
+    many = e_hi - e_lo + 1
+    upto = np.cumsum(many)
+    starts = np.arange(upto[-1]) - np.repeat(upto - many, many) + np.repeat(at - e_hi, many)
+    packed = slices(two, BASES[1], starts, starts + length).tobytes()
+    names = pa.Array.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(np.concatenate([[0], upto * 8]).astype(np.int64)), pa.py_buffer(packed)]).cast(pa.binary())
+    text = owner[row]
+    keys = pa.array([r["key"] for r in rows], pa.binary()).take(pa.array(text))
+    return pa.RecordBatch.from_arrays([keys, pa.array(at - e_hi + shift[text]), pa.array(at - e_lo + length + shift[text]), pa.array(core.view(np.int64)), pa.array(block.view(np.int64)), pa.array(weight[row]), names], ["key", "start", "stop", "core", "block", "weight", "names"])
+
+
+def _spans(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+
+
+def confirm(docs: DataFrame, found: DataFrame, kind: Kind, kept: Callable[[str, list[tuple[int, int]]], bytes]) -> DataFrame:
+    """``key, spans, kept``: for each distinct text with repeated windows the token spans ``[start, stop)`` that they cover and what is left.
+
+    found: the anchors whose first digit repeats.
+    """
+    runs = settle(found.withColumn("weight", F.lit(1).cast("long")), ["place"], "runs")
+    whole = F.collect_set(F.when(F.col("hit"), F.struct("start", "stop"))).alias("whole")
+    is_open = F.collect_set(F.when(F.col("open"), F.struct("place", "start", "stop", "weight"))).alias("open")
+    info = durable(runs.groupBy("key").agg(whole, is_open), "run-info")
+    discard(runs)
+    texts = docs.filter("text is not null").select(short_key(), "text").dropDuplicates(["key"])
+    texts = durable(texts.join(info, "key"), "texts", compression="zstd")
+    discard(info)
+
+    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _classes(kind, batch.to_pylist())
+
+    rows = texts.filter(F.size("open") > 0).select("key", "text", "open").mapInArrow(classes, "key binary, start long, stop long, core long, block long, weight long, names binary")
+    rows = durable(rows, "classes")
+    closer = settle(rows, ["names"], "classes")
+    discard(rows)
+    name = F.posexplode(F.transform(F.sequence(F.lit(0), (F.octet_length("names") / 8).cast("int") - 1), lambda i: F.substring("names", i * 8 + 1, F.lit(8)))).alias("i", "name")
+    windows = closer.filter("open").select("key", "start", "core", "weight", name).select("key", (F.col("start") + F.col("i")).alias("start"), "core", "name", "weight")
+    windows = durable(windows, "windows")
+    again = durable(windows.groupBy("core", "name").agg(F.sum("weight").alias("n")).filter("n > 1").select("core", "name"), "windows-again")
+    single = windows.filter("weight = 1").join(again, ["core", "name"], "left_semi").select("key", "start", (F.col("start") + kind.length).alias("stop"))
+    spans = _spans(closer.filter("hit").select("key", "start", "stop").unionByName(single))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            out = []
             for r in batch.to_pylist():
-                if r["batch"] != now:
-                    if rows:
-                        yield from packed(now)
-                    rows, now = [], r["batch"]
-                rows.append((r["text"], np.array(r["places"], np.int64), r["copies"]))
-        if rows:
-            yield from packed(now)
-
-    def answer(group: pd.DataFrame) -> pd.DataFrame:
-        """To each batch the names of a bucket that occur more than once in all."""
-        ones = [np.frombuffer(x, np.uint64) for x in group["one"]]
-        one, two = np.concatenate(ones), np.concatenate([np.frombuffer(x, np.uint64) for x in group["two"]])
-        many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8))[: len(x)] for m, x in zip(group["many"], ones)])
-        batch = np.repeat(np.arange(len(ones)), [len(x) for x in ones])
-        order = np.lexsort((two, one))
-        one, two, many, batch = one[order], two[order], many[order], batch[order]
-        new = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
-        name = np.cumsum(new) - 1
-        repeated = (np.bincount(name, 1 + many) > 1)[name]
-        one, two, batch = one[repeated], two[repeated], batch[repeated]
-        by = np.argsort(batch, kind="stable")
-        cuts = np.searchsorted(batch[by], np.arange(len(ones) + 1))
-        out = [(int(group["batch"].iloc[i]), one[s].tobytes(), two[s].tobytes()) for i in range(len(ones)) if len(s := by[cuts[i] : cuts[i + 1]])]
-        return pd.DataFrame(out, columns=["batch", "one", "two"])
-
-    def mark(group: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        """Spans of one batch's texts from the names that repeat."""
-        if not len(group):
-            return pd.DataFrame(columns=["key", "text", "spans"])
-        one = np.concatenate([np.frombuffer(x, np.uint64) for x in told["one"]] or [np.zeros(0, np.uint64)])
-        two = np.concatenate([np.frombuffer(x, np.uint64) for x in told["two"]] or [np.zeros(0, np.uint64)])
-        order = np.lexsort((two, one))
-        one, two = one[order], two[order]
-        most = int(np.diff(np.flatnonzero(np.concatenate([[True], one[1:] != one[:-1], [True]]))).max()) if len(one) else 0
-        rows = list(zip(group["text"], (np.asarray(p, np.int64) for p in group["places"]), group["copies"]))
-        spans: list[list[tuple[int, int]]] = [[] for _ in rows]
-        for piece, starts, copied in _candidates(kind, rows):
-            h = names(kind, piece, starts)
-            at, hit = np.searchsorted(one, h[0]), copied.copy()
-            for step in range(most):  # names with the same first half
-                k = np.minimum(at + step, len(one) - 1)
-                hit |= (one[k] == h[0]) & (two[k] == h[1])
-            s = starts[hit]
-            if not len(s):
-                continue
-            text, place = piece.text[s], piece.place(s)
-            cut = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (place[1:] > place[:-1] + kind.length)]))
-            last = np.append(cut[1:], len(s)) - 1
-            for t, a, b in zip(text[cut], place[cut], place[last] + kind.length):
-                if spans[t] and spans[t][-1][1] >= a:  # parts of a long text
-                    a, _ = spans[t].pop()
-                spans[t].append((int(a), int(b)))
-        some = [i for i, x in enumerate(spans) if x]
-        return pd.DataFrame({"key": [group["key"].iloc[i] for i in some], "text": [rows[i][0] for i in some], "spans": [[{"start": a, "stop": b} for a, b in spans[i]] for i in some]})
-
-    fields = texts.select("batch", "key", "text", "places", "copies")
-    told = fields.repartition("batch").sortWithinPartitions("batch").mapInArrow(tell, "bucket long, batch long, one binary, two binary, many binary")
-    told = told.groupBy("bucket").applyInPandas(answer, "batch long, one binary, two binary")
-    return fields.groupBy("batch").cogroup(told.groupBy("batch")).applyInPandas(mark, "key binary, text string, spans array<struct<start:long,stop:long>>")
+                merged: list[tuple[int, int]] = []
+                for s in sorted((x["start"], x["stop"]) for x in [*r["whole"], *(r["spans"] or ())]):
+                    if merged and merged[-1][1] >= s[0]:
+                        merged[-1] = (merged[-1][0], max(merged[-1][1], s[1]))
+                    else:
+                        merged.append(s)
+                if merged:
+                    out.append({"key": hashlib.sha256(r["text"].encode()).digest(), "spans": [{"start": a, "stop": b} for a, b in merged], "kept": kept(r["text"], merged)})
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    schema = pa.schema([("key", pa.binary()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("kept", pa.binary())])
+    marked = texts.select("key", "text", "whole").join(spans, "key", "left")
+    return marked.mapInArrow(mark, "key binary, spans array<struct<start:long,stop:long>>, kept binary")

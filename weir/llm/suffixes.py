@@ -3,7 +3,8 @@
 Suffixes are sorted through a threshold of bytes only, most significant digit first, and a suffix that is alone with its
 digits so far drops out; groups left at full depth are exactly the repeated windows. The first digit isn't the first bytes
 but the window's gram with the least hash (see ``repeats``): a pass over all first bytes would shuffle a row per
-byte of the corpus. The second digit is the whole window.
+byte of the corpus. The second digit is what a class of neighbouring windows has in common, the last one the whole window;
+neighbours that repeat together are settled together, without a row for each.
 
 Defined cases: a null text is empty; a text shorter than a window loses nothing; repeated rows and equal texts lose all
 that is at least a window long; an empty table gives no rows; other columns are ignored.
@@ -11,9 +12,6 @@ that is at least a window long; an empty table gives no rows; other columns are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,21 +19,14 @@ from weir.llm import repeats
 from weir.plans.durable import durable
 
 
-def repeated_bytes(docs: DataFrame, length: int = 400, gram: int = 64) -> DataFrame:
+def repeated_bytes(docs: DataFrame, length: int = 400, gram: int = 200) -> DataFrame:
     """``key, spans, kept``: per distinct text with repeated windows (key: its SHA-256), the byte spans and what remains."""
-    kind = repeats.Kind("bytes", length, min(gram, length))
+    kind = repeats.Kind("bytes", length, min(gram, length), width=16)
     found = durable(repeats.anchors(docs, kind), "first-digits")
-    again = found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1")
-    marked = repeats.confirm(docs, repeats.repeated_places(found, again), kind)
-
-    @F.pandas_udf("binary")
-    def kept(series: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, spans in series:
-            yield pd.Series([without(t.encode(), s) for t, s in zip(texts, spans)])
-
-    return marked.select("key", "spans", kept("text", "spans").alias("kept"))
+    again = durable(found.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1"), "digits-again")
+    return repeats.confirm(docs, repeats.sharing(found, again), kind, lambda text, spans: without(text.encode(), spans))
 
 
-def without(data: bytes, spans: list[dict]) -> bytes:
-    ends = [0, *(s["stop"] for s in spans)]
-    return b"".join(data[a:b] for a, b in zip(ends, [*(s["start"] for s in spans), len(data)]))
+def without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
+    ends = [0, *(b for _, b in spans)]
+    return b"".join(data[a:b] for a, b in zip(ends, [*(a for a, _ in spans), len(data)]))
