@@ -22,6 +22,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -86,6 +87,7 @@ class Items:
     recall: float
     number: dict[str, int] = field(default_factory=dict)
     sizes: dict[int, tuple] = field(default_factory=dict)
+    seeds: dict[int, np.ndarray] = field(default_factory=dict)
 
     def prepare(self) -> None:
         for w in (w for ws in self.words for w in ws):
@@ -105,6 +107,7 @@ class Items:
                 order = np.argsort(h, kind="stable")
                 tables.append((places, h[order], order))
             self.sizes[n] = (np.array(at), rows, edits, run, seeds, tables)
+            self.seeds[run] = np.union1d(self.seeds.get(run, seeds), seeds)
 
     def find(self, texts: list[str | None]) -> list[set[int]]:
         """Places in ``ids`` of the items found in each text."""
@@ -115,27 +118,32 @@ class Items:
         parts, owner = [gap], [np.full(len(gap), -1)]
         for i, t in enumerate(texts):
             words = WORD.findall(t.lower()) if t else ()
-            parts += [np.fromiter((get(w, 0) for w in words), np.int64, len(words)), gap]
+            parts += [np.fromiter(map(get, words, repeat(0)), np.int64, len(words)), gap]
             owner += [np.full(len(words) + len(gap), i)]
         ids, owner = np.concatenate(parts), np.concatenate(owner)
         known = np.concatenate([[0], np.cumsum(ids > 0)])
-        for n, (at, rows, edits, run, seeds, tables) in self.sizes.items():
-            starts = np.flatnonzero(known[n:] - known[:-n] >= n - edits)
-            if not len(starts):
+        places = {run: self._seeded(ids, known, run, seeds) for run, seeds in self.seeds.items()}
+        for n, (_, _, edits, run, seeds, _) in self.sizes.items():
+            at, runs = places[run]
+            at = at[seeds[np.minimum(np.searchsorted(seeds, runs), len(seeds) - 1)] == runs]
+            if not len(at):
                 continue
-            # the run must lie in the window: count its starts in the first n - run + 1 places
-            hit = np.zeros(len(ids) + 1, np.int64)
-            some = np.unique((starts[:, None] + np.arange(0, n - run + 1, 1)[None, :]).ravel()) if len(starts) * n < len(ids) else np.arange(len(ids) - run + 1)
-            some = some[(known[some + run] - known[some]) == run] if len(some) else some
-            if len(some):
-                runs = _runs_at(ids, some, run)
-                hit[some + 1] = seeds[np.minimum(np.searchsorted(seeds, runs), len(seeds) - 1)] == runs
-            hit = np.cumsum(hit)
-            starts = starts[hit[starts + n - run + 1] - hit[starts] > 0]
+            # all starts of windows that hold one of the runs, each once
+            first = np.maximum(at - (n - run), np.concatenate([[0], at[:-1] + 1]))
+            many = at - first + 1
+            starts = np.arange(many.sum()) + np.repeat(first - np.cumsum(many) + many, many)
+            starts = starts[known[starts + n] - known[starts] >= n - edits]
             for lo in range(0, len(starts), 100_000):
                 self._verify(ids, owner, starts[lo : lo + 100_000], n, found)
         return found
 
+    def _seeded(self, ids: np.ndarray, known: np.ndarray, run: int, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of the runs of words that are in some item of those with this length of run."""
+        at = np.flatnonzero(known[run:] - known[:-run] == run)
+        runs = _runs_at(ids, at, run)
+        hit = seeds[np.minimum(np.searchsorted(seeds, runs), len(seeds) - 1)] == runs
+        return at[hit], runs[hit]
+
     def _verify(self, ids: np.ndarray, owner: np.ndarray, starts: np.ndarray, n: int, found: list[set[int]]) -> None:
         at, rows, edits, _, _, tables = self.sizes[n]
         windows = ids[starts[:, None] + np.arange(n)[None, :]]
