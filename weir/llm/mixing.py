@@ -43,7 +43,6 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, cap: float
     exactly if the level computed with all sources before it capped exceeds its own cap, so one pass over
     the sorted sources (one row each) solves it.
     """
-    total = sizes.agg(F.sum("source_size").alias("all_size"))
     w = reduce(lambda c, i: c.when(F.col("at") % len(weights) == i, float(weights[i])), range(1, len(weights)), F.when(F.col("at") % len(weights) == 0, float(weights[0])))
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     by_ratio = Window.orderBy("ratio", F.col("source").asc_nulls_last())
@@ -51,7 +50,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, cap: float
     after = by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     ever = by_ratio.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     sized = (
-        sizes.crossJoin(F.broadcast(total))  # one row
+        sizes.withColumn("all_size", F.sum("source_size").over(by_name.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
         .withColumn("at", F.row_number().over(by_name) - 1)
         .withColumn("weight", w)
         .withColumn("limit_words", F.col("source_size") * F.lit(cap))
@@ -95,7 +94,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     )
     few = per.limit(FEW + 1).count() <= FEW
     held = F.broadcast if few else (lambda x: x)
-    uniform = (F.pmod(F.xxhash64(F.lit(seed), F.lit("order"), "doc_id"), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("order"), F.col("doc_id").cast("string")).cast("binary"))
+    uniform = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + 0.5) / F.lit(float(1 << 52))
     # A document longer than the words left over can't be in whole: its probability shrinks with its length.
     chance = F.least(F.col("rest") / F.col("source_size"), F.col("rest") / F.col("size"), F.lit(1 - 1e-9))
     q = (F.col("u") / (1 - F.col("u"))) / (F.col("chance") / (1 - F.col("chance")))

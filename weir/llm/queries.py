@@ -7,11 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weir.llm import decontamination, fingerprint_index, langid, mixing, pii, repeats, simhash, suffixes, toxicity, urls, vectors
+from weir.llm import decontamination, fingerprint_index, langid, mixing, oracles, pii, repeats, simhash, suffixes, toxicity, urls, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+#: The other operators are held against brute force in tests, as SQL can't express a fitted model, XXH64 or a Feistel permutation.
+ORACLES: dict[str, str] = {
+    "op1_mix_pareto": oracles.PARETO_MIX,
+    "op3_url_templates": oracles.URL_TEMPLATES,
+    "op5_substring_index": oracles.SUBSTRING_WORDS,
+    "op8_embedding_sorted_passes": oracles.EMBEDDING_PAIRS,
+    "op9_suffix_radix": oracles.SUBSTRING_BYTES,
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
