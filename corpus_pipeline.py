@@ -14,14 +14,29 @@ from weir.llm import decontamination, mixing, pii, simhash, toxicity
 from weir.plans.durable import durable
 
 
+READ = ("doc_id", "text", "source")
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """The columns that operators read, and the others as one, so that no operator's own columns replace them."""
+    rest = [F.col(c) for c in docs.columns if c not in READ]
+    return docs.select(*READ, F.struct(*rest or [F.lit(None)]).alias("rest_"))
+
+
+def _unpacked(df: DataFrame, columns: list[str], **more: str) -> DataFrame:
+    """``columns`` as they were, and others of ``df`` under new names."""
+    old = (F.col(c) if c in READ else F.col("rest_")[c].alias(c) for c in columns if c not in more)
+    return df.select(*old, *(F.col(c).alias(name) for name, c in more.items()))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are more likely not toxic, by a model of this table's labels."""
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), sample_rows=12_000)
-    return toxicity.score(docs, model).filter("p_toxic <= 0.5").select(docs.columns)
+    return _unpacked(toxicity.score(_packed(docs), model).filter("p_toxic <= 0.5"), docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,13 +46,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of a benchmark item."""
-    found = decontamination.contaminated(docs, _table(spark, sf_dir, "benchmark"), similarity=0.8, recall=0.95, least_words=5)
-    return found.filter(~F.col("contaminated")).select(docs.columns)
+    found = decontamination.contaminated(_packed(docs), _table(spark, sf_dir, "benchmark"), similarity=0.8, recall=0.95, least_words=5)
+    return _unpacked(found.filter(~F.col("contaminated")), docs.columns)
 
 
 def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with pseudonyms for private values; ``n_chars`` counts the new text."""
-    changed = pii.pseudonymise(docs, key="weir-test-key")
+    changed = _unpacked(pii.pseudonymise(_packed(docs), key="weir-test-key"), docs.columns)
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return changed.select(docs.columns)
@@ -53,10 +68,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     key = ["id_", "no_id_", "source_", "no_source_", "size_"]
     takes = keyed(mixed, F.col("size")).groupBy(key).agg(F.first("source_size").alias("mixed_source_size"), F.first("target").alias("mixed_target"), F.sort_array(F.collect_list("taken"), asc=False).alias("takes_"))
-    met = keyed(docs, mixing.words(F.col("text"))).join(durable(takes, "mix-takes"), key)
+    met = keyed(_packed(docs), mixing.words(F.col("text"))).join(durable(takes, "mix-takes"), key)
     met = met.withColumn("place_", F.row_number().over(Window.partitionBy(key).orderBy("size_"))).withColumn("take_", F.try_element_at("takes_", F.col("place_")))
-    more = {"size": "size_", "source_size": "mixed_source_size", "target": "mixed_target", "taken": "take_"}
-    return met.filter("take_ is not null").select(*(F.col(c) for c in docs.columns if c not in more), *(F.col(c).alias(name) for name, c in more.items()))
+    return _unpacked(met.filter("take_ is not null"), docs.columns, size="size_", source_size="mixed_source_size", target="mixed_target", taken="take_")
 
 
 STAGES = [

@@ -30,6 +30,13 @@ def durable(df: DataFrame, name: str, compression: str | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, longer by as many underscores as make it no column of ``df``."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a durable table that no later plan reads."""
     spark = df.sparkSession
