@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weir.plans.durable import unused
+
 BUCKETS = 1 << 15
 #: Characters of text handled at once.
 CHUNK = 1 << 20
@@ -89,7 +91,7 @@ def fit(labelled: DataFrame, sample_rows: int = 20_000, smoothing: float = 0.5)
     got = sample.mapInPandas(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(got["lang"].unique())
     counts = np.zeros((BUCKETS + 1, len(langs)))
-    counts[got["bucket"].to_numpy(), got["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy()] = got["n"]
+    counts[got["bucket"].to_numpy("int64"), got["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy("int64")] = got["n"]
     grams = counts[:BUCKETS] + smoothing
     matrix = np.vstack([np.log(grams / grams.sum(0)), np.log(np.maximum(counts[BUCKETS:], 1) / max(counts[BUCKETS].sum(), 1))])
     return langs, matrix.astype(np.float32)
@@ -119,5 +121,5 @@ def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray, evidence: flo
                 out_score[start + some] = post[some, best[some]]
             yield pd.DataFrame({"lang_pred": out_lang, "score": out_score})
 
-    found = docs.withColumn("scored_", scored("text"))
-    return found.withColumns({c: F.col(f"scored_.{c}") for c in ("lang_pred", "score")}).drop("scored_")
+    at = unused(docs, "scored_")
+    return docs.withColumn(at, scored("text")).withColumns({c: F.col(at)[c] for c in ("lang_pred", "score")}).drop(at)

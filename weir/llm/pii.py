@@ -17,6 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weir.plans.durable import unused
+
 ROUNDS = 10
 #: Dates of DAYS ** 2 days from FIRST_DAY on can be permuted; it reaches to 2102.
 FIRST_DAY, DAYS = "1900-01-01", 272
@@ -123,11 +125,11 @@ def pseudonym(value: Column, key: str) -> Column:
 
 def pseudonymise(docs: DataFrame, key: str = "weir") -> DataFrame:
     """``docs`` with private values in ``text`` replaced, and how many were: ``n_private``."""
-    text = F.col("text")
+    text, at = F.col("text"), unused(docs, "found_")
     has = text.rlike("[0-9@]")  # cheap, and most texts end here
     found = F.when(has, F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    marked = docs.withColumn("found_", F.transform(found, lambda m: F.struct(m.alias("old"), pseudonym(m, key).alias("new"))))
-    hits = F.size(F.filter("found_", lambda m: m["new"].isNotNull()))
-    pieces = F.zip_with(F.split(text, ANY, -1), F.col("found_"), lambda p, m: F.concat(p, F.coalesce(m["new"], m["old"], F.lit(""))))
-    some = F.size("found_") > 0
-    return marked.withColumn("n_private", F.when(some, hits).otherwise(0)).withColumn("text", F.when(some & (F.col("n_private") > 0), F.array_join(pieces, "")).otherwise(text)).drop("found_")
+    marked = docs.withColumn(at, F.transform(found, lambda m: F.struct(m.alias("old"), pseudonym(m, key).alias("new"))))
+    hits = F.size(F.filter(at, lambda m: m["new"].isNotNull()))
+    pieces = F.zip_with(F.split(text, ANY, -1), F.col(at), lambda p, m: F.concat(p, F.coalesce(m["new"], m["old"], F.lit(""))))
+    some = F.size(at) > 0
+    return marked.withColumn("n_private", F.when(some, hits).otherwise(0)).withColumn("text", F.when(some & (F.col("n_private") > 0), F.array_join(pieces, "")).otherwise(text)).drop(at)

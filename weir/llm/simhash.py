@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weir.llm.components import components, forest
-from weir.plans.durable import durable
+from weir.plans.durable import durable, unused
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -334,10 +334,11 @@ def _wide_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def representatives(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` without near-copies: of each group the row with the smallest id stays, of equal rows one; null ids come last."""
-    row = F.struct(F.col("doc_id").isNull().alias("no_id_"), "doc_id", "text_")
-    first = similar_groups(docs, shingle, similarity).groupBy("root").agg(F.min(row).alias("r"))
-    kept = durable(first.select("r.no_id_", F.coalesce("r.doc_id", F.lit(0)).alias("id_"), "r.text_"), "representatives")
-    keys = ["no_id_", "id_", "text_"]
-    met = docs.withColumns({"no_id_": F.col("doc_id").isNull(), "id_": F.coalesce("doc_id", F.lit(0)), "text_": _text_key()}).join(kept, keys)
-    met = met.withColumn("place_", F.row_number().over(Window.partitionBy(keys).orderBy("id_")))
-    return met.filter("place_ = 1").select(docs.columns)
+    row = F.struct(F.col("doc_id").isNull(), "doc_id", "text_").alias("r")
+    first = similar_groups(docs, shingle, similarity).groupBy("root").agg(F.min(row).alias("r")).select("r.doc_id", "r.text_")
+    keys = [unused(docs, c) for c in ("no_id_", "id_", "text_")]
+    kept = durable(first.select(*(c.alias(k) for k, c in zip(keys, (F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.col("text_"))))), "representatives")
+    met = docs.withColumns(dict(zip(keys, (F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), _text_key())))).join(kept, keys)
+    place = unused(docs, "place_")  # of equal rows
+    met = met.withColumn(place, F.row_number().over(Window.partitionBy(keys).orderBy(keys[1])))
+    return met.filter(F.col(place) == 1).select(docs.columns)

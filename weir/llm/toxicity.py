@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weir.plans.durable import unused
+
 WORD = re.compile(r"\w+")
 #: Lengths of the word beginnings that are features beside the word, and the number of hash buckets.
 BEGINNINGS, BUCKETS = (4, 5), 1 << 22
@@ -161,5 +163,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             each = np.hstack([np.ones((len(eta), 1)), above]) - np.hstack([above, np.zeros((len(eta), 1))])
             yield pd.DataFrame({"severity": above.sum(1), "p_toxic": above[:, 0], "grade": each.argmax(1).astype("int32")})
 
-    scored = docs.withColumn("scored_", graded("text"))
-    return scored.withColumns({c: F.col(f"scored_.{c}") for c in ("severity", "p_toxic", "grade")}).drop("scored_")
+    at = unused(docs, "scored_")
+    return docs.withColumn(at, graded("text")).withColumns({c: F.col(at)[c] for c in ("severity", "p_toxic", "grade")}).drop(at)
