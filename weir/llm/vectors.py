@@ -23,6 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weir.llm.components import components, forest
 from weir.plans.durable import durable
@@ -87,12 +88,14 @@ def _compare(threshold: float):
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, passes: int = PASSES, bits: int = BITS, block: int = BLOCK, seed: int = 11) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for a table with ``vec_id, embedding, label``."""
-    raw = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("vector"), "label")
+    # single-precision input stays so in every copy; its squares neither overflow nor vanish in double precision
+    kind = "float" if isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType) else "double"
+    raw = vectors.select("vec_id", F.col("embedding").cast(f"array<{kind}>").alias("vector"), "label")
     finite = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     usable = F.coalesce(F.col("label").isNotNull() & F.col("vector").isNotNull() & finite & F.exists("vector", lambda v: v != 0), F.lit(False))
-    # 0.0 and -0.0 are one number; scale that would overflow or vanish in squares is taken out
-    top = F.array_max(F.transform("vector", lambda v: F.abs(v)))
-    scaled = F.transform("vector", lambda v: v / top + 0.0)
+    # 0.0 and -0.0 are one number; in double precision a scale that would overflow or vanish in squares is taken out
+    top = F.lit(1.0).cast("float") if kind == "float" else F.array_max(F.transform("vector", lambda v: F.abs(v)))
+    scaled = F.transform("vector", lambda v: (v / top + 0.0).cast(kind))
     rows = raw.select("vec_id", "label", F.when(usable, scaled).alias("vector"))
     same = rows.filter("vector is not null").groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("many"))
     distinct = durable(same.filter("rep is not null").withColumn("keys", _keys(passes, bits, seed)("vector")), "vectors")
