@@ -135,7 +135,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, z: float
                 rows.append(([at[f] for f, _ in found], int(g), terms, min(map(xxhash.xxh64_intdigest, words), default=0) >> 1))
             yield pd.DataFrame(rows, columns=["x", "grade", "terms", "like"])
 
-    got = sample.mapInPandas(reduced, "x array<int>, grade int, terms int, like long").orderBy("like").toPandas()
+    got = sample.mapInPandas(reduced, "x array<int>, grade int, terms int, like long").toPandas()  # at most sample_rows
+    got = got.assign(x=got["x"].map(lambda x: tuple(sorted(x)))).sort_values(["like", "grade", "terms", "x"], ignore_index=True)  # reruns agree
     y = got["grade"].to_numpy()
     if not graded:
         y = np.where(y > 0, np.where(got["terms"] >= severe, 2, 1), 0)
