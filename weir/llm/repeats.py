@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from weir.plans.durable import discard, durable
 
 #: Tokens handled at once, and the bits that number their places.
-CHUNK, PLACE_BITS = 1 << 20, 21
+CHUNK, PLACE_BITS = 1 << 19, 21
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _bytes = np.random.default_rng(2024).integers(0, 1 << 63, (2, 256), np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
