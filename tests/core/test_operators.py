@@ -35,10 +35,19 @@ def test_asof_ties_nulls_and_tolerance(spark):
     assert asof_join(left, right.filter("false"), "k", "t", "rt", ["v"]).filter("v is null").count() == 7
 
 
-def test_asof_makes_one_shuffle(spark):
+@pytest.mark.parametrize("seconds", [60, 3600, 86_400])
+def test_asof_carries_over_stretches_of_time(spark, seconds):
+    left = spark.createDataFrame([(i, "a" if i % 3 else "b", at(i * 7)) for i in range(200)], "id int, k string, t timestamp_ntz")
+    rows = [("a", at(i * 101), i) for i in range(14)] + [("b", at(333), 99)]
+    right = spark.createDataFrame(rows, "k string, rt timestamp_ntz, v int")
+    got = {r["id"]: r["v"] for r in asof_join(left, right, "k", "t", "rt", ["v"], bucket_seconds=seconds).collect()}
+    assert got == {i: max(((t, v) for k, t, v in rows if k == ("a" if i % 3 else "b") and t <= at(i * 7)), default=(None, None))[1] for i in range(200)}
+
+
+def test_asof_deals_a_key_over_time_and_makes_no_pairs(spark):
     df = spark.range(10).select(F.col("id").alias("k"), F.lit(at(0)).alias("t"))
     plan = asof_join(df, df.select("k", F.col("t").alias("rt"), F.lit(1).alias("v")), "k", "t", "rt", ["v"])._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1 and "Join" not in plan
+    assert "Join" not in plan and "windowspecdefinition(key_" in plan and ", bucket_" in plan
 
 
 def test_intervals_at_their_bounds(spark):
