@@ -189,3 +189,11 @@ def test_mixing_query(spark, sf):
     got = QUERIES["op1_mix_pareto"](spark, sf)
     off = got.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).filter(F.abs(F.col("taken") - F.col("target")) > 0.03 * F.col("target"))
     assert got.count() == spark.read.parquet(f"{sf}/documents.parquet").count() and off.count() == 0
+
+
+def test_secrets_keep_their_case_and_stay_linked(spark):
+    value = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    rows = [(1, f"token = {value}."), (2, f"TOKEN = {value.upper()}!"), (3, f"{value[:20]}{value[20:].upper()}")]
+    got = [r["text"] for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    new = re.search(r"[0-9a-f]{40}", got[0])[0]
+    assert new != value and new.upper() in got[1] and got[2] == rows[2][1]

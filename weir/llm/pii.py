@@ -24,7 +24,7 @@ ROUNDS = 10
 FIRST_DAY, DAYS = "1900-01-01", 272
 
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+){1,8}"
-SECRET = r"(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])"
+SECRET = r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])"
 CARD = r"(?<!\d)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)"
 PHONE = r"(?<![\w+])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<![\w+])\+\d{7,15}(?!\d)"
 SSN = r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)"
@@ -100,7 +100,8 @@ def pseudonym(value: Column, key: str) -> Column:
     n = F.length(digits)
     name, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     mail = F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("mail"), F.lower(value)), 256), 1, 12), F.lit("@"), domain)
-    secret = F.substring(F.concat(F.sha2(F.concat(F.lit(f"{key}|secret|"), value), 256), F.sha2(F.concat(F.lit(f"{key}|more|"), value), 256)), 1, 64)
+    secret = F.sha2(F.concat(F.lit(f"{key}|secret|"), F.lower(value)), 256)  # 64 digits; one value in either case
+    secret = F.when(value == F.upper(value), F.upper(secret)).otherwise(secret)
     payload = permuted_digits(F.substr(digits, F.lit(1), n - 1), key, "card")
     card = F.concat(payload, F.pmod(10 - luhn(F.concat(payload, F.lit("0"))), F.lit(10)).cast("string"))
     # a country code is no part of the number, so that both ways to write it stay linked
