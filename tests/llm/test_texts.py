@@ -113,7 +113,7 @@ def test_pii_pseudonyms(spark):
     day = re.findall(r"(\d{4})-(\d\d)-(\d\d), 1984-02-30 or (\d\d)/(\d\d)/(\d{4})", new)[0]
     assert day[:3] == (day[5], day[4], day[3])
     assert re.findall(r"\d+\.\d+\.\d+\.\d+", new)[0] == re.findall(r"\d+\.\d+\.\d+\.\d+", got[5]["text"])[0]
-    assert got[0]["n_private"] == 9 and got[3]["n_private"] == 0
+    assert got[0]["n_private"] == 10 and got[3]["n_private"] == 0
 
 
 def test_feistel_is_a_permutation(spark):
