@@ -35,7 +35,24 @@ def jaccard(a, b):
 def test_wide_segments_cover_disjoint_bits():
     bits = [b for first, n in simhash.WIDE for b in range(first, first + n)]
     assert len(bits) == len(set(bits)) and max(bits) < 128
-    assert simhash.wide_distance(0.8) == 21 and simhash.wide_distance(1.0) == 0
+    assert simhash.wide_distance(0.8, 128, 0) == 19 and simhash.wide_distance(1.0, 512, 1) == 0
+
+
+def test_spanning_links_are_the_lightest():
+    rng = np.random.default_rng(3)
+    a, b, w = rng.integers(0, 60, 300), rng.integers(0, 60, 300), rng.integers(0, 20, 300)
+    kept = simhash.spanning(a, b, w, 60)
+
+    def joined(places):  # by weight, one link after the other
+        root, total = list(range(60)), 0
+        find = lambda x: x if root[x] == x else find(root[x])
+        for i in sorted(places, key=lambda i: w[i]):
+            x, y = find(a[i]), find(b[i])
+            if x != y:
+                root[x], total = y, total + w[i]
+        return len({find(x) for x in range(60)}), total
+
+    assert joined(kept) == joined(range(300)) and w[kept].sum() == joined(kept)[1]
 
 
 @pytest.mark.parametrize("small", [1 << 10, 8])

@@ -11,10 +11,10 @@ fingerprints share is dealt out over cells of pairs of parts. What a bucket find
 never as all its pairs.
 
 ``representatives`` is the filter for training data: it links similar texts rather than nearly equal fingerprints. Its
-fingerprints have 128 bits, as 64 would tell a similarity of 0.8 from one of 0.7 too rarely, and cut into six segments.
+fingerprints have 512 bits, as 64 can't tell a similarity of 0.8 from one of 0.7. The first 126 are cut into six segments.
 Both sides look into their Hamming balls of radius 1 there, so two texts meet if some segment differs in two bits at
-most; at a similarity of 0.8 that holds for 93 of 100 pairs, at 0.9 for 99.7. The similarity of two sets of shingles is
-estimated from the complete distance, with a standard error of 0.04 at 0.8.
+most; at a similarity of 0.8 that holds for 93 of 100 pairs, at 0.9 for 99.7. A bucket hands on real links, the closest ones
+that span it, judged by the first 128 bits with room for their error; links are then verified by the complete distance.
 
 Defined cases: a null text or one without words has fingerprint 0 and links like any other; a text of fewer words
 than a shingle is one shingle; repeated rows are linked, being equal; a null id is never the smallest; an empty
@@ -171,16 +171,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Segments of a wide fingerprint, as (first bit, bits), and the most rows of a bucket whose pairs are all compared at once.
-WIDE = tuple((i * 21, 21) for i in range(6))
-SMALL = 1 << 10
+#: Bits of a wide fingerprint and of its head; segments of the head as (first bit, bits).
+WIDE_BITS, HEAD_BITS, WIDE = 512, 128, tuple((i * 21, 21) for i in range(6))
+#: Rows of a bucket whose pairs are all compared at once, at most, and pairs that are compared at once.
+SMALL, WIDE_PAIRS = 1 << 10, 1 << 19
+_lane_keys = np.random.default_rng(77).integers(0, 1 << 63, WIDE_BITS // 64 - 2, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def wide_distance(similarity: float) -> int:
-    """Bits of 128 in which texts with such a Jaccard similarity of shingle sets differ on average, and half a standard
-    error more, as a copy that is missed costs more than a pair just below the bound."""
+def wide_distance(similarity: float, bits: int, errors: float) -> int:
+    """Bits in which texts with such a Jaccard similarity of shingle sets differ on average, and so many standard errors."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(128 * p + 0.5 * math.sqrt(128 * p * (1 - p)))
+    return math.floor(bits * p + errors * math.sqrt(bits * p * (1 - p)))
 
 
 def _text_key():
@@ -188,24 +189,29 @@ def _text_key():
 
 
 def wide_fingerprint(text: str | None, shingle: int) -> bytes:
-    """16 bytes, from each shingle once; zeros for a text without words."""
+    """64 bytes, from each shingle once; zeros for a text without words."""
     words = WORD.findall(text.encode().translate(LOWER)) if text else []
     if not words:
-        return bytes(16)
+        return bytes(WIDE_BITS // 8)
     n = max(1, len(words) - shingle + 1)
-    digests = {xxhash.xxh3_128_digest(b" ".join(words[i : i + shingle]), SEED) for i in range(n)}
-    lanes = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 16)
-    if len(lanes) < 64:
-        counts = np.unpackbits(lanes, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    else:
-        flat = (lanes + (np.arange(16, dtype=np.int16) * 256)[None, :]).ravel()
-        counts = (np.bincount(flat, minlength=4096).reshape(16, 256) @ _bits).ravel()
-    return np.packbits(2 * counts > len(lanes), bitorder="little").tobytes()
-
-
-def _lanes(column: pa.Array) -> np.ndarray:
-    """16-byte values as rows of two numbers."""
-    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, 2)
+    digests = b"".join({xxhash.xxh3_128_digest(b" ".join(words[i : i + shingle]), SEED) for i in range(n)})
+    counts, many = np.zeros(WIDE_BITS, np.int64), len(digests) // 16
+    for lo in range(0, many, 1 << 14):  # a long text in parts
+        head = np.frombuffer(digests[lo * 16 : (lo + (1 << 14)) * 16], "<u8").reshape(-1, 2)
+        tail = (head[:, :1] ^ (head[:, :1] >> np.uint64(31)) ^ head[:, 1:]) * _lane_keys  # more bits from the same digest
+        tail = (tail ^ (tail >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        lanes = np.hstack([head, tail ^ (tail >> np.uint64(32))]).view(np.uint8)
+        if len(lanes) < 256:
+            counts += np.unpackbits(lanes, axis=1, bitorder="little").sum(0, dtype=np.int64)
+        else:
+            flat = (lanes + (np.arange(lanes.shape[1], dtype=np.int16) * 256)[None, :]).ravel()
+            counts += (np.bincount(flat, minlength=256 * lanes.shape[1]).reshape(-1, 256) @ _bits).ravel()
+    return np.packbits(2 * counts > many, bitorder="little").tobytes()
+
+
+def _lanes(column: pa.Array, lanes: int = 2) -> np.ndarray:
+    """Values of 8 bytes a lane as rows of numbers."""
+    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, lanes)
 
 
 def _wide_looks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,29 +229,58 @@ def _wide_looks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array((value ^ flip) * len(WIDE) + t), batch.column("fp")], ["bucket", "fp"])
 
 
-def _near(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64) <= most
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
+
+
+def spanning(a: np.ndarray, b: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """Places of the lightest links that connect what all the links between ``n`` nodes connect."""
+    root, kept = np.arange(n), [np.zeros(0, np.int64)]
+    order = (weight.astype(np.int64) << 40) | np.arange(len(a))
+    while len(order):
+        live = root[a[order & MASK]] != root[b[order & MASK]]
+        order = order[live]
+        if not len(order):
+            break
+        at = order & MASK
+        best = np.full(n, np.iinfo(np.int64).max)
+        np.minimum.at(best, root[a[at]], order)
+        np.minimum.at(best, root[b[at]], order)
+        chosen = np.unique(best[best < np.iinfo(np.int64).max]) & MASK
+        kept.append(chosen)
+        u, v = root[a[chosen]], root[b[chosen]]
+        while not np.array_equal(root[u], root[v]):
+            low = np.minimum(root[u], root[v])
+            np.minimum.at(root, root[u], low)
+            np.minimum.at(root, root[v], low)
+            while not np.array_equal(root, root[root]):
+                root = root[root]
+    return np.unique(np.concatenate(kept))
+
+
+MASK = (1 << 40) - 1
 
 
 def _walk(fp: np.ndarray, most: int) -> tuple[list[int], list[int]]:
-    """A forest of links in one large bucket, breadth first: a row that is reached is never compared with another one again
+    """Links that connect one large bucket, breadth first: a row that is reached is never compared with another one again
     but as the one that reaches, so a dense group costs its rows, not its pairs."""
-    left, a, b = np.arange(len(fp)), [], []
+    left, a, b = np.random.default_rng(len(fp)).permutation(len(fp)), [], []
     while len(left) > 1:
-        root, left = int(left[0]), left[1:]
-        queue = [root]
+        queue, left = [int(left[0])], left[1:]
         while queue and len(left):
             at = queue.pop()
-            hit = _near(fp[left], fp[at], most)
-            reached = left[hit]
-            a += [root] * len(reached)
-            b += reached.tolist()
-            queue += reached.tolist()
+            hit = _apart(fp[left], fp[at]) <= most
+            reached = left[hit].tolist()
+            a += [at] * len(reached)
+            b += reached
+            queue += reached
             left = left[~hit]
     return a, b
 
 
-def _wide_meet(most: int):
+def _wide_meet(close: int, most: int):
+    """Links with the same components as all pairs of a bucket within ``most`` bits, and within ``close``."""
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
@@ -257,28 +292,27 @@ def _wide_meet(most: int):
             at = np.flatnonzero(np.repeat(size, size) <= SMALL)
             to = end[at] - at - 1
             at, to = at[to > 0], to[to > 0]
-            found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            found = [np.zeros((2, 0), np.int64)]
             upto = np.cumsum(to)
             i = 0
             while i < len(at):
                 base = upto[i - 1] if i else 0
-                j = max(i + 1, int(np.searchsorted(upto, base + PAIRS, "right")))
+                j = max(i + 1, int(np.searchsorted(upto, base + WIDE_PAIRS, "right")))
                 left = np.repeat(at[i:j], to[i:j])
                 right = left + 1 + np.arange(len(left)) - np.repeat(upto[i:j] - to[i:j] - base, to[i:j])
-                near = _near(fp[left], fp[right], most)
-                a, b = forest(left[near], right[near])
-                found_a.append(a)
-                found_b.append(b)
+                apart = _apart(fp[left], fp[right])
+                near = apart <= most
+                left, right, apart = left[near], right[near], apart[near]
+                nodes, flat = np.unique(np.concatenate([left, right]), return_inverse=True)
+                kept = spanning(flat[: len(left)], flat[len(left) :], apart, len(nodes))
+                found.append(np.stack([left[kept], right[kept]]))
                 i = j
             for s, e in zip(starts[size > SMALL], ends[size > SMALL]):
-                a, b = _walk(fp[s:e], most)
-                found_a.append(np.array(a, np.int64) + s)
-                found_b.append(np.array(b, np.int64) + s)
-            a, b = np.concatenate(found_a), np.concatenate(found_b)
-            if len(a):
-                rows = [np.ascontiguousarray(fp[x]).view("V16").ravel() for x in (a, b)]
-                pairs = np.unique(np.stack(rows, 1).view("V32").ravel())
-                data = pairs.tobytes()
+                found += [np.array(_walk(fp[s:e], d), np.int64).reshape(2, -1) + s for d in (close, most)]
+            pairs = np.concatenate(found, axis=1)
+            if pairs.shape[1]:
+                rows = [np.ascontiguousarray(fp[x]).view("V16").ravel() for x in pairs]
+                data = np.unique(np.stack(rows, 1).view("V32").ravel()).tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([data[i + o : i + o + 16] for i in range(0, len(data), 32)], pa.binary()) for o in (0, 16)], ["a", "b"])
 
         for batch in batches:
@@ -297,6 +331,18 @@ def _wide_meet(most: int):
     return meet
 
 
+def _verified(pairs: DataFrame, whole: DataFrame, most: int) -> DataFrame:
+    """The pairs (``a, b``) whose complete fingerprints in ``whole`` (``fp, long``) differ in ``most`` bits at most."""
+
+    @F.pandas_udf("boolean")
+    def near(a: pd.Series, b: pd.Series) -> pd.Series:
+        x, y = (np.frombuffer(b"".join(s), "<u8").reshape(-1, WIDE_BITS // 64) for s in (a, b))
+        return pd.Series(_apart(x, y) <= most)
+
+    sides = [whole.select(F.col("fp").alias(c), F.col("long").alias(f"long_{c}")) for c in ("a", "b")]
+    return pairs.join(sides[0], "a").join(sides[1], "b").filter(near("long_a", "long_b")).select("a", "b")
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``doc_id, text_, root``: a row for each row of ``docs``, with 16 bytes for its text; similar texts share a root, directly
     or over others."""
@@ -306,13 +352,15 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
         for texts in series:
             yield texts.map(lambda t: wide_fingerprint(t, shingle))
 
-    prints = durable(docs.select("doc_id", _text_key().alias("text_"), wide("text").alias("fp")), "wide-fingerprints")
-    distinct = durable(prints.select("fp").distinct(), "distinct-fingerprints")
-    looks = distinct.mapInArrow(_wide_looks, "bucket long, fp binary")
+    prints = durable(docs.select("doc_id", _text_key().alias("text_"), wide("text").alias("long")), "wide-fingerprints")
+    prints = prints.withColumn("fp", F.substring("long", 1, HEAD_BITS // 8))
+    # texts with the same head are one
+    distinct = durable(prints.groupBy("fp").agg(F.min("long").alias("long")), "distinct-fingerprints")
+    looks = distinct.select("fp").mapInArrow(_wide_looks, "bucket long, fp binary")
     # Hot buckets are dealt out over cells of pairs of parts. A bucket's looks are the rows of its own ball.
     flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << i).cast("long") for i in range(WIDE[0][1])))
     n_seg = len(WIDE)
-    own = distinct.mapInArrow(_wide_own, "bucket long").groupBy("bucket").agg(F.count("*").alias("n"))
+    own = distinct.select("fp").mapInArrow(_wide_own, "bucket long").groupBy("bucket").agg(F.count("*").alias("n"))
     dense = own.filter(F.col("n") * (WIDE[0][1] + 1) > CELL).select(F.explode(F.transform(flips, lambda x: F.floor(F.col("bucket") / n_seg).bitwiseXOR(x) * n_seg + F.pmod("bucket", F.lit(n_seg)))).alias("bucket"), "n")
     hot = durable(dense.groupBy("bucket").agg(F.ceil(F.sum("n") / CELL).cast("int").alias("parts")).filter("parts > 1"), "hot-buckets")
     cell = F.lit(0)
@@ -322,7 +370,10 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
         part = F.pmod(F.xxhash64("fp"), parts).cast("int")
         cell = F.explode(F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.least(part, j) * 65_536 + F.greatest(part, j)))
     met = looks.select("bucket", cell.alias("cell"), "fp").repartition("bucket", "cell").sortWithinPartitions("bucket", "cell")
-    roots = components(met.mapInArrow(_wide_meet(wide_distance(similarity)), "a binary, b binary")).withColumnRenamed("id", "fp")
+    close, most = (wide_distance(similarity, HEAD_BITS, e) for e in (-1, 1.5))
+    pairs = durable(met.mapInArrow(_wide_meet(close, most), "a binary, b binary").distinct(), "wide-pairs")
+    links = durable(_verified(pairs, distinct, wide_distance(similarity, WIDE_BITS, 1)), "wide-links")
+    roots = components(links).withColumnRenamed("id", "fp")
     return prints.join(roots, "fp", "left").select("doc_id", "text_", F.coalesce("root", "fp").alias("root"))
 
 
