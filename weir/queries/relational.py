@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from weir.catalog import query, table
 
 
-def _long(c: str):
-    return F.sum(c).cast("long")
-
-
 @query("""SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base,
 round(sum(l_extendedprice * (1 - l_discount)), 4) AS sum_disc, round(avg(l_quantity), 6) AS avg_qty, count(*) AS n
 FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL""")
