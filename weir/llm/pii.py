@@ -12,8 +12,6 @@ repeated rows change alike; an empty table stays empty; other columns are kept;
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 

@@ -57,10 +57,10 @@ def sums(tokens: np.ndarray, base: int) -> np.ndarray:
     return out
 
 
-def slices(total: np.ndarray, base: int, at: np.ndarray | slice, ends: np.ndarray | slice, places: np.ndarray | None = None) -> np.ndarray:
+def slices(total: np.ndarray, base: int, at: np.ndarray | slice, ends: np.ndarray | slice) -> np.ndarray:
     """Hashes of token slices from running sums; slices of equal tokens are equal wherever they lie."""
     _, inverse = powers(base, len(total))
-    return mixed((total[ends] - total[at]) * inverse[at if places is None else places])
+    return mixed((total[ends] - total[at]) * inverse[at])
 
 
 @dataclass(frozen=True)
