@@ -214,17 +214,22 @@ def _lanes(column: pa.Array, lanes: int = 2) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, lanes)
 
 
+def _segment(fp: np.ndarray, t: int) -> np.ndarray:
+    first, bits = WIDE[t]
+    lane, shift = divmod(first, 64)
+    value = fp[:, lane] >> np.uint64(shift)
+    if shift + bits > 64:
+        value = value | (fp[:, lane + 1] << np.uint64(64 - shift))
+    return (value & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
 def _wide_looks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not len(batch):
             continue
         fp = _lanes(batch.column("fp"))
-        for t, (first, bits) in enumerate(WIDE):
-            lane, shift = divmod(first, 64)
-            value = fp[:, lane] >> np.uint64(shift)
-            if shift + bits > 64:
-                value = value | (fp[:, lane + 1] << np.uint64(64 - shift))
-            value = (value & np.uint64((1 << bits) - 1)).astype(np.int64)
+        for t, (_, bits) in enumerate(WIDE):
+            value = _segment(fp, t)
             for flip in (0, *(1 << i for i in range(bits))):
                 yield pa.RecordBatch.from_arrays([pa.array((value ^ flip) * len(WIDE) + t), batch.column("fp")], ["bucket", "fp"])
 
@@ -261,25 +266,42 @@ def spanning(a: np.ndarray, b: np.ndarray, weight: np.ndarray, n: int) -> np.nda
 MASK = (1 << 40) - 1
 
 
-def _walk(fp: np.ndarray, most: int) -> tuple[list[int], list[int]]:
-    """Links that connect one large bucket, breadth first: a row that is reached is never compared with another one again
-    but as the one that reaches, so a dense group costs its rows, not its pairs."""
-    left, a, b = np.random.default_rng(len(fp)).permutation(len(fp)), [], []
-    while len(left) > 1:
-        queue, left = [int(left[0])], left[1:]
+def _walk(fp: np.ndarray, group: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links within ``most`` bits that connect groups of one large bucket, and the groups that they make.
+
+    Breadth first: a row that is reached is never compared with another one again but as the one that reaches, so a dense
+    bucket costs its rows, not its pairs. Reaching a row reaches its group.
+    """
+    left, links, joined = np.random.default_rng(len(fp)).permutation(len(fp)), [], group.copy()
+    while len(left):
+        start = left[0]
+        inside = group[left] == group[start]
+        queue, left = left[inside].tolist(), left[~inside]
         while queue and len(left):
             at = queue.pop()
-            hit = _apart(fp[left], fp[at]) <= most
-            reached = left[hit].tolist()
-            a += [at] * len(reached)
-            b += reached
-            queue += reached
-            left = left[~hit]
-    return a, b
+            reached = left[_apart(fp[left], fp[at]) <= most]
+            if len(reached):
+                met, first = np.unique(group[reached], return_index=True)
+                links += [(at, b) for b in reached[first].tolist()]
+                inside = np.isin(group[left], met)
+                joined[left[inside]] = group[start]
+                queue += left[inside].tolist()
+                left = left[~inside]
+    return np.array(links, np.int64).reshape(-1, 2).T, joined
+
+
+def _large(fp: np.ndarray, flip: np.ndarray, close: int, most: int) -> np.ndarray:
+    """Links of one large bucket, close ones first. Guests with the same flip have a bucket of their own, which links them."""
+    group = np.arange(len(fp))
+    for f in np.unique(flip[flip > 0]):
+        at = np.flatnonzero(flip == f)
+        group[at] = at[_walk(fp[at], np.arange(len(at)), most)[1]]
+    first, group = _walk(fp, group, close)
+    return np.concatenate([first, _walk(fp, group, most)[0]], axis=1)
 
 
 def _wide_meet(close: int, most: int):
-    """Links with the same components as all pairs of a bucket within ``most`` bits, and within ``close``."""
+    """Links that with those of other buckets have the components of all pairs within ``most`` bits that meet in a bucket."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -289,6 +311,10 @@ def _wide_meet(close: int, most: int):
             ends = np.append(starts[1:], len(fp))
             size = ends - starts
             end = np.repeat(ends, size)
+            flip = np.zeros(len(fp), np.int64)
+            for t in range(len(WIDE)):
+                own = np.flatnonzero(bucket % len(WIDE) == t)
+                flip[own] = _segment(fp[own], t) ^ (bucket[own] // len(WIDE))
             at = np.flatnonzero(np.repeat(size, size) <= SMALL)
             to = end[at] - at - 1
             at, to = at[to > 0], to[to > 0]
@@ -304,11 +330,14 @@ def _wide_meet(close: int, most: int):
                 near = apart <= most
                 left, right, apart = left[near], right[near], apart[near]
                 nodes, flat = np.unique(np.concatenate([left, right]), return_inverse=True)
-                kept = spanning(flat[: len(left)], flat[len(left) :], apart, len(nodes))
+                # guests with the same flip meet in a bucket of their own: connected, but not told here
+                here = (flip[left] != flip[right]) | (flip[left] == 0)
+                kept = spanning(flat[: len(left)], flat[len(left) :], apart + here * (HEAD_BITS + 1), len(nodes))
+                kept = kept[here[kept]]
                 found.append(np.stack([left[kept], right[kept]]))
                 i = j
             for s, e in zip(starts[size > SMALL], ends[size > SMALL]):
-                found += [np.array(_walk(fp[s:e], d), np.int64).reshape(2, -1) + s for d in (close, most)]
+                found.append(_large(fp[s:e], flip[s:e], close, most) + s)
             pairs = np.concatenate(found, axis=1)
             if pairs.shape[1]:
                 rows = [np.ascontiguousarray(fp[x]).view("V16").ravel() for x in pairs]
