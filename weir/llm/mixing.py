@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from weir.plans.durable import durable
 
-#: Bins of the histogram of a source's order; documents of the one bin where the words run out are sorted.
-BINS = 1 << 14
+#: Bins of the histogram of a source's order, and bins in a coarse one; documents of the one bin where the words run out are sorted.
+BINS, COARSE = 1 << 14, 1 << 7
 #: Rounds that fill what the whole documents before them left over.
 ROUNDS = 3
 #: Up to so many sources, counted first, their targets are broadcast.
@@ -62,16 +62,25 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, cap: float
     return sized.select("source", "source_size", F.when(F.col("capped"), F.col("limit_words")).otherwise(F.least(F.col("final") * F.col("weight"), F.col("limit_words"))).alias("target"))
 
 
+def _first_full(sums: DataFrame, by: str, before: Column) -> DataFrame:
+    """``key, by, room, before``: per source the first bin by which its room is more than full, and the words before it."""
+    upto = Window.partitionBy("key").orderBy(by)  # at most COARSE or BINS / COARSE rows a source
+    full = sums.withColumn("upto", before + F.sum("words").over(upto)).filter(F.col("upto") > F.col("room"))
+    first = full.groupBy("key", "room").agg(F.min_by(F.struct(by, (F.col("upto") - F.col("words")).alias("before")), by).alias("s"))
+    return first.select("key", "room", f"s.{by}", "s.before")
+
+
 def _fill(state: DataFrame, room: DataFrame, held: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Take documents from the front of the order until each source's ``room`` is full.
 
     state: key, size, p in [0, 1), extra and more. room: key, room. Documents above the room aren't asked.
     """
     asked = state.join(held(room), "key", "left").withColumn("bin", F.when(~F.col("extra") & (F.col("size") > 0) & (F.col("size") <= F.col("room")), F.floor(F.col("p") * BINS)))
-    upto = Window.partitionBy("key").orderBy("bin")  # at most BINS rows a source
-    sums = asked.filter("bin is not null").groupBy("key", "room", "bin").agg(F.sum("size").alias("bin_size")).withColumn("upto", F.sum("bin_size").over(upto))
-    stop = sums.filter(F.col("upto") > F.col("room")).groupBy("key").agg(F.min_by(F.struct(F.col("bin").alias("stop"), (F.col("room") - F.col("upto") + F.col("bin_size")).alias("left")), "bin").alias("s"))
-    asked = asked.join(held(stop.select("key", "s.*")), "key", "left")
+    sums = durable(asked.filter("bin is not null").groupBy("key", "room", "bin").agg(F.sum("size").alias("words")), "mix-bins")
+    coarse = _first_full(sums.groupBy("key", "room", F.floor(F.col("bin") / COARSE).alias("coarse")).agg(F.sum("words").alias("words")), "coarse", F.lit(0)).drop("room")
+    fine = sums.withColumn("coarse", F.floor(F.col("bin") / COARSE)).join(held(coarse), ["key", "coarse"])
+    stop = _first_full(fine, "bin", F.col("before")).select("key", F.col("bin").alias("stop"), (F.col("room") - F.col("before")).alias("left"))
+    asked = asked.join(held(stop), "key", "left")
     last = F.coalesce(F.col("bin") == F.col("stop"), F.lit(False))
     front = F.col("bin").isNotNull() & (F.col("stop").isNull() | (F.col("bin") < F.col("stop")))
     within = Window.partitionBy("key").orderBy("p", "size", "doc_id")  # one bin of a source
