@@ -19,9 +19,10 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     round, which has fewer of both by a constant factor on average. Then the parents are applied backwards. Links
     and parents are tables in shared storage; the driver sees only whether links are left.
     """
-    kind = links.schema["a"].dataType
     a, b = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-    left = durable(links.filter("a <> b").select(a, b).distinct(), "links")
+    first = durable(links.select(a, b).distinct(), "links")
+    alone = first.filter("a = b").select(F.col("a").alias("id"), F.col("a").alias("root"))  # but for those with other links
+    left = first.filter("a <> b")
     steps: list[DataFrame] = []
     while not left.isEmpty():
         if len(steps) == rounds:
@@ -33,16 +34,18 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         to_a, to_b = parents.select(F.col("id").alias("a"), F.col("parent").alias("pa")), parents.select(F.col("id").alias("b"), F.col("parent").alias("pb"))
         moved = left.join(to_a, "a").join(to_b, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
         last, left = left, durable(moved.filter("a <> b").select(a, b).distinct(), "links")
-        discard(last)
+        if len(steps) > 1:
+            discard(last)
     if not steps:
-        return left.sparkSession.createDataFrame([], f"id {kind.simpleString()}, root {kind.simpleString()}")
+        return alone
 
     def deeper(root: DataFrame, parents: DataFrame) -> DataFrame:
         up = root.select(F.col("id").alias("parent"), "root")
         return parents.join(up, "parent", "left").select("id", F.coalesce("root", "parent").alias("root"))
 
     # a root of an early round that has no link later is its own root
-    return durable(reduce(deeper, reversed(steps[:-1]), steps[-1].select("id", F.col("parent").alias("root"))), "roots")
+    roots = reduce(deeper, reversed(steps[:-1]), steps[-1].select("id", F.col("parent").alias("root")))
+    return durable(roots.unionByName(alone.join(steps[0], "id", "left_anti")), "roots")
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
