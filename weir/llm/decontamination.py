@@ -162,7 +162,8 @@ class Items:
         for i in np.unique(item):
             s = starts[w[item == i]]
             regions = padded[s[:, None] + np.arange(n + 2 * edits)[None, :]]
-            for doc in np.unique(owner[s[edit_distance(rows[i], regions) <= edits]]):
+            # a window may begin or end in the gap between two texts; its middle never lies there
+            for doc in np.unique(owner[s[edit_distance(rows[i], regions) <= edits] + n // 2]):
                 if doc >= 0:
                     found[doc].add(int(at[i]))
 
