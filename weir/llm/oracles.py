@@ -47,7 +47,7 @@ def _url_level(depth: int) -> str:
 b{depth} AS (SELECT host, template, shape[{depth}] AS seg, sum(seen) AS b_seen, sum(bad) AS b_bad FROM {last} WHERE len(shape) >= {depth} GROUP BY 1, 2, 3),
 p{depth} AS (SELECT host, template, sum(b_seen) AS p_seen, sum(b_bad) AS p_bad, count(*) AS n FROM b{depth} GROUP BY 1, 2),
 n{depth} AS (SELECT host, template, seg, CASE WHEN seg = '*' THEN '*' WHEN b_seen = 0 THEN CASE WHEN n > 64 THEN '*' ELSE seg END
-WHEN abs((b_bad + 0.5::DOUBLE) / (b_seen + 1.0::DOUBLE) - p) / sqrt(p * (1 - p) / (b_seen + 1.0::DOUBLE)) <= 1.96::DOUBLE THEN '~' ELSE seg END AS name
+WHEN n > 1 AND abs((b_bad + 0.5::DOUBLE) / (b_seen + 1.0::DOUBLE) - p) / sqrt(p * (1 - p) / (b_seen + 1.0::DOUBLE)) <= 1.96::DOUBLE THEN '~' ELSE seg END AS name
 FROM (SELECT b.host, b.template, seg, b_seen, b_bad, n, (p_bad + 0.5::DOUBLE) / (p_seen + 1.0::DOUBLE) AS p FROM b{depth} b JOIN p{depth} q ON b.host = q.host AND b.template = q.template)),
 t{depth} AS (SELECT t.host, t.shape, t.seen, t.bad, t.template || coalesce('/' || n.name, '') AS template FROM {last} t LEFT JOIN n{depth} n ON t.host = n.host AND t.template = n.template AND t.shape[{depth}] = n.seg)"""
 

@@ -2,7 +2,7 @@
 
 Rules decide the urls they fit; those urls also serve as labels. Per host, the paths form a tree: segments
 that look generated (numbers, hashes, mixtures of digits and letters) become ``*`` at once; siblings whose
-labelled rates don't differ significantly from their parent's merge into ``~``; an unlabelled branch keeps
+labelled rates don't differ significantly from their parent's merge into ``~``; an only child keeps its name; an unlabelled branch keeps
 its name, unless its parent has very many of them, when they merge into ``*``. A template is rejected if its
 smoothed share of blocked labels is high enough.
 
@@ -54,7 +54,7 @@ def _level(nodes: DataFrame, depth: int, significance: float, children: int) ->
     name = (
         F.when(F.col("seg") == "*", "*")
         .when(F.col("b_seen") == 0, F.when(F.col("n_branches") > children, "*").otherwise(F.col("seg")))
-        .when(z <= significance, "~")
+        .when((z <= significance) & (F.col("n_branches") > 1), "~")
         .otherwise(F.col("seg"))
     )
     named = branches.join(parents, ["host", "template"]).select("host", "template", "seg", name.alias("name"))
