@@ -3,7 +3,7 @@
 Texts are lower-cased; everything but letters becomes one space; n-grams of two and three characters are
 hashed into a fixed number of buckets. The log-probability matrix (buckets by languages) is broadcast, and
 batches of texts are scored at once in numpy. It is fitted on a bounded sample of labelled rows
-(``sample_rows``, in the order of a hash of the id); every text is scored whole.
+(``sample_rows``, in the order of a hash of id and text); every text is scored whole.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; with no labelled text to learn
 from all are ``und``; a tie goes to the first language in code point order; repeated rows get the same
@@ -86,8 +86,9 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def fit(labelled: DataFrame, sample_rows: int = 20_000, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
     """Languages and the matrix of log-probabilities, from ``doc_id, text, lang``; the last row has the priors."""
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    picked = rows.select("doc_id").distinct().orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id").limit(sample_rows)  # the bound
-    sample = rows.join(F.broadcast(picked), "doc_id", "left_semi").select("text", "lang")
+    rows = rows.withColumn("pick", F.xxhash64(F.lit("sample"), "doc_id", "text"))  # repeated rows are one
+    picked = rows.select("pick").distinct().orderBy("pick").limit(sample_rows)  # the bound
+    sample = rows.join(F.broadcast(picked), "pick", "left_semi").dropDuplicates(["pick"]).select("text", "lang")
     got = sample.mapInPandas(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(got["lang"].unique())
     counts = np.zeros((BUCKETS + 1, len(langs)))
