@@ -84,6 +84,20 @@ def test_dense_group_is_one(spark, monkeypatch):
     assert got == [0, *range(1000, 1050)]
 
 
+def from_template(rng, n, own):
+    """Texts of one template of 200 words, each with so many words of its own."""
+    base = sentence(rng, 200)
+    return [f"{base} {' '.join(f'w{i}x{rng.getrandbits(40)}' for _ in range(own))}" for i in range(n)]
+
+
+def test_texts_of_one_template_stay(spark):
+    texts = from_template(random.Random(11), 200, 36)
+    sets = [shingles(t) for t in texts]
+    assert 0.7 < max(jaccard(a, b) for k, a in enumerate(sets) for b in sets[:k]) < 0.8
+    got = simhash.representatives(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == list(range(200))
+
+
 def test_rows_without_words_or_ids(spark):
     rows = [(None, "one two three four five six", "a"), (None, "one two three four five six", "b"), (3, None, "c"), (2, "", "d"), (5, " \t", "e"), (7, "alone here", "f"), (7, "alone here", "g"), (7, "another text with the same id as others", "h")]
     got = simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string, fp string")).collect()

@@ -14,7 +14,8 @@ never as all its pairs.
 fingerprints have 512 bits, as 64 can't tell a similarity of 0.8 from one of 0.7. The first 126 are cut into six segments.
 Both sides look into their Hamming balls of radius 1 there, so two texts meet if some segment differs in two bits at
 most; at a similarity of 0.8 that holds for 93 of 100 pairs, at 0.9 for 99.7. A bucket hands on real links, the closest ones
-that span it, judged by the first 128 bits with room for their error; links are then verified by the complete distance.
+that span it, judged by the first 128 bits with room for their error; links are then verified by the exact Jaccard similarity
+of the two texts' shingle sets.
 
 Defined cases: a null text or one without words has fingerprint 0 and links like any other; a text of fewer words
 than a shingle is one shingle; repeated rows are linked, being equal; a null id is never the smallest; an empty
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weir.llm.components import components, forest
-from weir.plans.durable import durable, unused
+from weir.plans.durable import durable, join_checked, unused
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -188,13 +189,18 @@ def _text_key():
     return F.substring(F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)), 1, 16)
 
 
+def _digests(text: str | None, shingle: int) -> set[bytes]:
+    """16 bytes for each of a text's shingles."""
+    words = WORD.findall(text.encode().translate(LOWER)) if text else []
+    n = max(1, len(words) - shingle + 1) if words else 0
+    return {xxhash.xxh3_128_digest(b" ".join(words[i : i + shingle]), SEED) for i in range(n)}
+
+
 def wide_fingerprint(text: str | None, shingle: int) -> bytes:
     """64 bytes, from each shingle once; zeros for a text without words."""
-    words = WORD.findall(text.encode().translate(LOWER)) if text else []
-    if not words:
+    digests = b"".join(_digests(text, shingle))
+    if not digests:
         return bytes(WIDE_BITS // 8)
-    n = max(1, len(words) - shingle + 1)
-    digests = b"".join({xxhash.xxh3_128_digest(b" ".join(words[i : i + shingle]), SEED) for i in range(n)})
     counts, many = np.zeros(WIDE_BITS, np.int64), len(digests) // 16
     for lo in range(0, many, 1 << 14):  # a long text in parts
         head = np.frombuffer(digests[lo * 16 : (lo + (1 << 14)) * 16], "<u8").reshape(-1, 2)
@@ -227,11 +233,11 @@ def _wide_looks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not len(batch):
             continue
-        fp = _lanes(batch.column("fp"))
+        fp = _lanes(batch.column("fp"), len(batch.column("fp")[0].as_py()) // 8)
         for t, (_, bits) in enumerate(WIDE):
             value = _segment(fp, t)
             for flip in (0, *(1 << i for i in range(bits))):
-                yield pa.RecordBatch.from_arrays([pa.array((value ^ flip) * len(WIDE) + t), batch.column("fp")], ["bucket", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array((value ^ flip) * len(WIDE) + t), *batch.columns], ["bucket", *batch.schema.names])
 
 
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -360,16 +366,32 @@ def _wide_meet(close: int, most: int):
     return meet
 
 
-def _verified(pairs: DataFrame, whole: DataFrame, most: int) -> DataFrame:
-    """The pairs (``a, b``) whose complete fingerprints in ``whole`` (``fp, long``) differ in ``most`` bits at most."""
+def _dealt(nodes: DataFrame) -> DataFrame:
+    """``bucket, cell`` and the columns of ``nodes`` (``fp`` and others), sorted by the first two: what each bucket compares."""
+    looks = nodes.mapInArrow(_wide_looks, f"bucket long, {', '.join(f'{c} {kind}' for c, kind in nodes.dtypes)}".replace("bigint", "long"))
+    # Hot buckets are dealt out over cells of pairs of parts. A bucket's looks are the rows of its own ball.
+    flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << i).cast("long") for i in range(WIDE[0][1])))
+    n_seg = len(WIDE)
+    own = nodes.select("fp").mapInArrow(_wide_own, "bucket long").groupBy("bucket").agg(F.count("*").alias("n"))
+    dense = own.filter(F.col("n") * (WIDE[0][1] + 1) > CELL).select(F.explode(F.transform(flips, lambda x: F.floor(F.col("bucket") / n_seg).bitwiseXOR(x) * n_seg + F.pmod("bucket", F.lit(n_seg)))).alias("bucket"), "n")
+    hot = durable(dense.groupBy("bucket").agg(F.ceil(F.sum("n") / CELL).cast("int").alias("parts")).filter("parts > 1"), "hot-buckets")
+    cell = F.lit(0)
+    if n_hot := hot.limit(50_001).count():
+        looks = looks.join(F.broadcast(hot) if n_hot <= 50_000 else hot, "bucket", "left")
+        parts = F.coalesce("parts", F.lit(1))
+        part = F.pmod(F.xxhash64("fp"), parts).cast("int")
+        cell = F.explode(F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.least(part, j) * 65_536 + F.greatest(part, j)))
+    return looks.select("bucket", cell.alias("cell"), *nodes.columns).repartition("bucket", "cell").sortWithinPartitions("bucket", "cell")
 
-    @F.pandas_udf("boolean")
-    def near(a: pd.Series, b: pd.Series) -> pd.Series:
-        x, y = (np.frombuffer(b"".join(s), "<u8").reshape(-1, WIDE_BITS // 64) for s in (a, b))
-        return pd.Series(_apart(x, y) <= most)
 
-    sides = [whole.select(F.col("fp").alias(c), F.col("long").alias(f"long_{c}")) for c in ("a", "b")]
-    return pairs.join(sides[0], "a").join(sides[1], "b").filter(near("long_a", "long_b")).select("a", "b")
+def _judged(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
+    """``a, b, alike``: whether the shingle sets in ``grams`` (``long, grams``) have that Jaccard similarity."""
+    sides = [grams.select(F.col("long").alias(c), F.col("grams").alias(f"grams_{c}")) for c in ("a", "b")]
+    both = F.size(F.array_intersect("grams_a", "grams_b"))
+    alike = both / (F.size("grams_a") + F.size("grams_b") - both) >= similarity
+    # sets of too different sizes aren't compared
+    close = F.least(F.size("grams_a"), F.size("grams_b")) / F.greatest(F.size("grams_a"), F.size("grams_b")) >= similarity
+    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", F.coalesce(F.when(close, alike), F.lit(False)).alias("alike"))
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -381,29 +403,29 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
         for texts in series:
             yield texts.map(lambda t: wide_fingerprint(t, shingle))
 
+    @F.pandas_udf("array<long>")
+    def grams_of(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in series:
+            yield texts.map(lambda t: np.unique(np.frombuffer(b"".join(_digests(t, shingle)), "<i8")[::2]))
+
     prints = durable(docs.select("doc_id", _text_key().alias("text_"), wide("text").alias("long")), "wide-fingerprints")
-    prints = prints.withColumn("fp", F.substring("long", 1, HEAD_BITS // 8))
-    # texts with the same head are one
-    distinct = durable(prints.groupBy("fp").agg(F.min("long").alias("long")), "distinct-fingerprints")
-    looks = distinct.select("fp").mapInArrow(_wide_looks, "bucket long, fp binary")
-    # Hot buckets are dealt out over cells of pairs of parts. A bucket's looks are the rows of its own ball.
-    flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << i).cast("long") for i in range(WIDE[0][1])))
-    n_seg = len(WIDE)
-    own = distinct.select("fp").mapInArrow(_wide_own, "bucket long").groupBy("bucket").agg(F.count("*").alias("n"))
-    dense = own.filter(F.col("n") * (WIDE[0][1] + 1) > CELL).select(F.explode(F.transform(flips, lambda x: F.floor(F.col("bucket") / n_seg).bitwiseXOR(x) * n_seg + F.pmod("bucket", F.lit(n_seg)))).alias("bucket"), "n")
-    hot = durable(dense.groupBy("bucket").agg(F.ceil(F.sum("n") / CELL).cast("int").alias("parts")).filter("parts > 1"), "hot-buckets")
-    cell = F.lit(0)
-    if n_hot := hot.limit(50_001).count():
-        looks = looks.join(F.broadcast(hot) if n_hot <= 50_000 else hot, "bucket", "left")
-        parts = F.coalesce("parts", F.lit(1))
-        part = F.pmod(F.xxhash64("fp"), parts).cast("int")
-        cell = F.explode(F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.least(part, j) * 65_536 + F.greatest(part, j)))
-    met = looks.select("bucket", cell.alias("cell"), "fp").repartition("bucket", "cell").sortWithinPartitions("bucket", "cell")
+    # texts with the same complete fingerprint are one
+    distinct = durable(prints.groupBy("long").agg(F.min("text_").alias("text_")).withColumn("fp", F.substring("long", 1, HEAD_BITS // 8)), "distinct-fingerprints")
+    heads = durable(distinct.groupBy("fp").agg(F.min("long").alias("first")), "heads")
     close, most = (wide_distance(similarity, HEAD_BITS, e) for e in (-1, 1.5))
-    pairs = durable(met.mapInArrow(_wide_meet(close, most), "a binary, b binary").distinct(), "wide-pairs")
-    links = durable(_verified(pairs, distinct, wide_distance(similarity, WIDE_BITS, 1)), "wide-links")
-    roots = components(links).withColumnRenamed("id", "fp")
-    return prints.join(roots, "fp", "left").select("doc_id", "text_", F.coalesce("root", "fp").alias("root"))
+    met = _dealt(heads.select("fp")).mapInArrow(_wide_meet(close, most), "a binary, b binary").distinct()
+    for c in ("a", "b"):
+        met = met.join(heads.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}")), c)
+    same = distinct.join(heads, "fp").filter("long <> first").select(F.col("first").alias("a"), F.col("long").alias("b"))
+    pairs = durable(met.select(F.col("first_a").alias("a"), F.col("first_b").alias("b")).unionByName(same), "wide-pairs")
+    nodes = pairs.select(F.col("a").alias("long")).unionByName(pairs.select(F.col("b").alias("long"))).distinct()
+    wanted = durable(distinct.join(nodes, "long").select("text_", "long"), "linked-texts")
+    texts = join_checked(docs.select(_text_key().alias("text_"), "text"), wanted, ["text_"]).withColumn("grams", grams_of("text"))
+    grams = durable(texts.groupBy("long").agg(F.first("grams").alias("grams")), "linked-shingles")
+    judged = durable(_judged(pairs, grams, similarity), "wide-links")
+    links = judged.filter("alike").select("a", "b")
+    roots = components(links).select(F.col("id").alias("long"), "root")
+    return prints.join(roots, "long", "left").select("doc_id", "text_", F.coalesce("root", "long").alias("root"))
 
 
 def _wide_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
