@@ -15,7 +15,8 @@ fingerprints have 512 bits, as 64 can't tell a similarity of 0.8 from one of 0.7
 Both sides look into their Hamming balls of radius 1 there, so two texts meet if some segment differs in two bits at
 most; at a similarity of 0.8 that holds for 93 of 100 pairs, at 0.9 for 99.7. A bucket hands on real links, the closest ones
 that span it, judged by the first 128 bits with room for their error; links are then verified by the exact Jaccard similarity
-of the two texts' shingle sets.
+of the two texts' shingle sets. Where a link fails, it may have displaced a real one: the texts that were connected by such links look
+again, with the complete fingerprint, and all their pairs that meet and aren't joined yet are verified.
 
 Defined cases: a null text or one without words has fingerprint 0 and links like any other; a text of fewer words
 than a shingle is one shingle; repeated rows are linked, being equal; a null id is never the smallest; an empty
@@ -366,6 +367,67 @@ def _wide_meet(close: int, most: int):
     return meet
 
 
+def _binary(fp: np.ndarray) -> pa.Array:
+    """Rows of numbers as values of 8 bytes a lane."""
+    data = np.ascontiguousarray(fp)
+    return pa.Array.from_buffers(pa.binary(data.shape[1] * 8), len(data), [None, pa.py_buffer(data)]).cast(pa.binary())
+
+
+def _told_here(a: np.ndarray, b: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """Of the buckets in which two fingerprints meet, one tells them: that of the first segment, the smaller of two."""
+    first, told = np.ones(len(bucket), bool), np.zeros(len(bucket), bool)
+    for t in range(len(WIDE)):
+        x, y, value = _segment(a, t), _segment(b, t), bucket // len(WIDE)
+        apart = np.bitwise_count(x ^ y)
+        told |= first & (bucket % len(WIDE) == t) & np.where(apart == 0, value == x, value <= x ^ y ^ value)
+        first &= apart > 2
+    return told
+
+
+def _all_meet(most: int):
+    """All pairs within ``most`` bits of the complete fingerprint that meet in a bucket and aren't in one group yet."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def links(bucket: np.ndarray, cell: np.ndarray, fp: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+            starts = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (cell[1:] != cell[:-1])]))
+            ends = np.append(starts[1:], len(fp))
+            at = np.arange(len(fp))
+            to = np.repeat(ends, ends - starts) - at - 1
+            at, to = at[to > 0], to[to > 0]
+            upto = np.cumsum(to)
+            i = 0
+            while i < len(at):
+                base = upto[i - 1] if i else 0
+                j = max(i + 1, int(np.searchsorted(upto, base + WIDE_PAIRS, "right")))
+                left = np.repeat(at[i:j], to[i:j])
+                right = left + 1 + np.arange(len(left)) - np.repeat(upto[i:j] - to[i:j] - base, to[i:j])
+                new = group[left] != group[right]
+                left, right = left[new], right[new]
+                near = _apart(fp[left], fp[right]) <= most
+                left, right = left[near], right[near]
+                told = _told_here(fp[left], fp[right], bucket[left])
+                if told.any():
+                    yield pa.RecordBatch.from_arrays([_binary(fp[left[told]]), _binary(fp[right[told]])], ["a", "b"])
+                i = j
+
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), _lanes(batch.column(2), WIDE_BITS // 64), batch.column(3).to_numpy()))
+            if sum(len(c[0]) for c in held) < 100_000:
+                continue
+            columns = [np.concatenate(c) for c in zip(*held)]
+            cut = np.flatnonzero((columns[0] != columns[0][-1]) | (columns[1] != columns[1][-1]))
+            cut = cut[-1] + 1 if len(cut) else 0
+            if cut:
+                yield from links(*(c[:cut] for c in columns))
+            held = [tuple(c[cut:] for c in columns)]
+        if held and len(held[0][0]):
+            yield from links(*(np.concatenate(c) for c in zip(*held)))
+
+    return meet
+
+
 def _dealt(nodes: DataFrame) -> DataFrame:
     """``bucket, cell`` and the columns of ``nodes`` (``fp`` and others), sorted by the first two: what each bucket compares."""
     looks = nodes.mapInArrow(_wide_looks, f"bucket long, {', '.join(f'{c} {kind}' for c, kind in nodes.dtypes)}".replace("bigint", "long"))
@@ -424,6 +486,15 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     grams = durable(texts.groupBy("long").agg(F.first("grams").alias("grams")), "linked-shingles")
     judged = durable(_judged(pairs, grams, similarity), "wide-links")
     links = judged.filter("alike").select("a", "b")
+    failed = judged.filter("not alike")
+    if not failed.isEmpty():
+        # A link that failed may have displaced a real one: where one did, all pairs that meet and aren't joined yet are judged.
+        joined = components(judged.select("a", "b"))
+        open_ = joined.join(failed.select(F.col("a").alias("id")).join(joined, "id").select("root").distinct(), "root").select("id")
+        groups = components(links)
+        open_ = durable(open_.join(groups, "id", "left").select(F.col("id").alias("fp"), F.xxhash64(F.coalesce("root", "id")).alias("group")), "open-texts")
+        more = durable(_dealt(open_).mapInArrow(_all_meet(wide_distance(similarity, WIDE_BITS, 2)), "a binary, b binary").distinct(), "more-pairs")
+        links = links.unionByName(durable(_judged(more, grams, similarity).filter("alike").select("a", "b"), "more-links"))
     roots = components(links).select(F.col("id").alias("long"), "root")
     return prints.join(roots, "long", "left").select("doc_id", "text_", F.coalesce("root", "long").alias("root"))
 
