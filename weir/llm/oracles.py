@@ -39,35 +39,30 @@ FROM d LEFT JOIN k ON d.rid = k.rid"""
 
 _GENERATED = r"^(.*[0-9].*|[0-9a-f]{16,}|.*%[0-9a-fA-F]{2}.*|.{64,})$"
 
-
-def _url_level(depth: int) -> str:
-    """The template tree's next level: names of the branches, and each shape's template with one more segment."""
-    last = f"t{depth - 1}"
-    return f"""
-b{depth} AS (SELECT host, template, shape[{depth}] AS seg, sum(seen) AS b_seen, sum(bad) AS b_bad FROM {last} WHERE len(shape) >= {depth} GROUP BY 1, 2, 3),
-p{depth} AS (SELECT host, template, sum(b_seen) AS p_seen, sum(b_bad) AS p_bad, count(*) AS n FROM b{depth} GROUP BY 1, 2),
-n{depth} AS (SELECT host, template, seg, CASE WHEN seg = '*' THEN '*' WHEN b_seen = 0 THEN CASE WHEN n > 64 THEN '*' ELSE seg END
-WHEN n > 1 AND abs((b_bad + 0.5::DOUBLE) / (b_seen + 1.0::DOUBLE) - p) / sqrt(p * (1 - p) / (b_seen + 1.0::DOUBLE)) <= 1.96::DOUBLE THEN '~' ELSE seg END AS name
-FROM (SELECT b.host, b.template, seg, b_seen, b_bad, n, (p_bad + 0.5::DOUBLE) / (p_seen + 1.0::DOUBLE) AS p FROM b{depth} b JOIN p{depth} q ON b.host = q.host AND b.template = q.template)),
-t{depth} AS (SELECT t.host, t.shape, t.seen, t.bad, t.template || coalesce('/' || n.name, '') AS template FROM {last} t LEFT JOIN n{depth} n ON t.host = n.host AND t.template = n.template AND t.shape[{depth}] = n.seg)"""
-
-
-#: The rules, then the tree level by level.
+#: The rules, then a recursion over the nodes of all hosts: a shape goes on to the node of its branch until that is a leaf.
 URL_TEMPLATES = rf"""
-WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+WITH RECURSIVE u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
 regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 r AS (SELECT *, CASE WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/7') THEN 'example.com/en/7'
 WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/de/8') THEN 'example.net/de/8'
 WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/en/') THEN 'com/en/' WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/de/') THEN 'net/de/'
 WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/es/') THEN 'org/es/' END AS rule,
-[CASE WHEN regexp_matches(s, '{_GENERATED}') THEN '*' ELSE s END for s in string_split(path, '/') if s <> ''] AS segs FROM u),
-l AS (SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/en/', 'example.net/de/8', 'org/es/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS label,
-CASE WHEN len(segs) > 4 THEN list_append(segs[1:4], '*') ELSE segs END AS shape FROM r),
-t0 AS (SELECT host, shape, count(label) AS seen, count(*) FILTER (WHERE label = 'block') AS bad, '' AS template FROM l GROUP BY 1, 2),
-{",".join(_url_level(d) for d in range(1, 6))},
-pure AS (SELECT host, template, (sum(bad) + 1.0::DOUBLE) / (sum(seen) + 2.0::DOUBLE) AS purity FROM t5 GROUP BY 1, 2)
-SELECT page_id, l.host, path, rule, coalesce(label, CASE WHEN purity >= 0.8::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict, t5.template, purity
-FROM l JOIN t5 ON l.host = t5.host AND l.shape = t5.shape JOIN pure ON t5.host = pure.host AND t5.template = pure.template"""
+[CASE WHEN regexp_matches(s, '{_GENERATED}') THEN '*' ELSE s END for s in string_split(path, '/') if s <> ''] AS shape FROM u),
+l AS (SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/en/', 'example.net/de/8', 'org/es/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS label, shape FROM r),
+s AS (SELECT host, shape, count(label) AS seen, count(*) FILTER (WHERE label = 'block') AS bad FROM l GROUP BY 1, 2),
+tree AS (SELECT host, shape, seen, bad, shape AS rest, '' AS template, (sum(bad) OVER w + 1.0::DOUBLE) / (sum(seen) OVER w + 2.0::DOUBLE) AS purity, false AS leaf FROM s WINDOW w AS (PARTITION BY host)
+UNION ALL SELECT host, shape, seen, bad, rest, template, purity, leaf FROM (
+SELECT * REPLACE (CASE WHEN is_leaf THEN rest ELSE rest[2:] END AS rest, is_leaf AS leaf, CASE WHEN is_leaf THEN below || CASE WHEN low <> high THEN '/~' ELSE '' END ELSE below || '/' || name END AS template,
+CASE WHEN is_leaf OR count(*) OVER b = count(*) OVER n THEN purity ELSE (sum(bad) OVER b + 2.0::DOUBLE * purity) / (sum(seen) OVER b + 2.0::DOUBLE) END AS purity) FROM (
+SELECT *, CASE WHEN alike AND count(DISTINCT CASE WHEN alike THEN segment END) OVER n > 1 THEN '~' ELSE segment END AS name FROM (
+SELECT *, (b_bad - b_seen * p) * (b_bad - b_seen * p) <= b_seen * p * (1 - p) * (1.96::DOUBLE * 1.96::DOUBLE) AS alike FROM (
+SELECT *, sum(bad) OVER g AS b_bad, sum(seen) OVER g AS b_seen, (n_bad + 0.5::DOUBLE) / (n_seen + 1.0::DOUBLE) AS p FROM (
+SELECT * REPLACE (rest[share + 1:] AS rest), coalesce(rest[share + 1], '') AS segment, template || array_to_string(['/' || x for x in low[:share]], '') AS below FROM (
+SELECT *, n_bad = 0 OR n_bad = n_seen OR low = high AS is_leaf, CASE WHEN low = high THEN len(low) ELSE list_position([low[i] IS NOT DISTINCT FROM high[i] for i in generate_series(1, len(high))], false) - 1 END AS share FROM (
+SELECT *, sum(bad) OVER n AS n_bad, sum(seen) OVER n AS n_seen, min(rest) OVER n AS low, max(rest) OVER n AS high FROM tree WHERE NOT leaf
+WINDOW n AS (PARTITION BY host, template)))) WINDOW g AS (PARTITION BY host, template, segment))) WINDOW n AS (PARTITION BY host, template)) WINDOW n AS (PARTITION BY host, template), b AS (PARTITION BY host, template, name)))
+SELECT page_id, l.host, path, rule, coalesce(label, CASE WHEN purity >= 0.8::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict, tree.template, purity
+FROM l JOIN tree ON l.host = tree.host AND l.shape = tree.shape AND tree.leaf"""
 
 
 def _fill(i: int) -> str:
