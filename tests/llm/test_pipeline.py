@@ -111,6 +111,36 @@ def test_near_copies_in_a_template_are_found(spark, monkeypatch, small):
     assert set(range(400)) <= left and len(left) <= 402  # a pair of 0.85 meets in 97 of 100 cases
 
 
+def test_most_pairs_just_above_the_limit_are_found_and_none_below(spark):
+    rng = random.Random(13)
+    texts = [sentence(rng, rng.randint(150, 400)) for _ in range(500)]
+    copies = [edited(rng, t, rng.uniform(0.018, 0.035)) for t in texts]
+    similar = np.array([jaccard(shingles(a), shingles(b)) for a, b in zip(texts, copies)])
+    got = simhash.representatives(spark.createDataFrame(list(enumerate(texts + copies)), "doc_id long, text string"))
+    left = {r["doc_id"] for r in got.collect()}
+    gone = np.array([500 + i not in left for i in range(500)])
+    band = (similar >= 0.8) & (similar < 0.85)
+    assert set(range(500)) <= left and band.sum() > 100 and gone[band].mean() >= 0.9
+    assert not gone[similar < 0.8].any() and (similar < 0.8).sum() > 30
+
+
+@pytest.mark.parametrize("part", [512, 16])
+def test_the_second_look_has_the_groups_of_all_pairs(spark, monkeypatch, part):
+    monkeypatch.setattr(simhash, "PART", part)
+    rng = random.Random(14)
+    texts = from_template(rng, 40, 40)  # alike below the limit; copies of some are above it
+    texts += [edited(rng, rng.choice(texts[:10]), 0.01) for _ in range(60)]
+    sets = [shingles(t) for t in texts]
+    got = {r["doc_id"]: r["root"] for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(sets[i], sets[j]) >= 0.8 and root[i] != root[j]:
+                root = [root[j] if r == root[i] else r for r in root]
+    groups = lambda of: {frozenset(k for k in range(len(texts)) if of[k] == v) for v in {of[k] for k in range(len(texts))}}
+    assert groups(got) == groups(root)
+
+
 def test_rows_without_words_or_ids(spark):
     rows = [(None, "one two three four five six", "a"), (None, "one two three four five six", "b"), (3, None, "c"), (2, "", "d"), (5, " \t", "e"), (7, "alone here", "f"), (7, "alone here", "g"), (7, "another text with the same id as others", "h")]
     got = simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string, fp string")).collect()

@@ -13,10 +13,11 @@ never as all its pairs.
 ``representatives`` is the filter for training data: it links similar texts rather than nearly equal fingerprints. Its
 fingerprints have 512 bits, as 64 can't tell a similarity of 0.8 from one of 0.7. The first 126 are cut into six segments.
 Both sides look into their Hamming balls of radius 1 there, so two texts meet if some segment differs in two bits at
-most; at a similarity of 0.8 that holds for 93 of 100 pairs, at 0.9 for 99.7. A bucket hands on real links, the closest ones
-that span it, judged by the first 128 bits with room for their error; links are then verified by the exact Jaccard similarity
-of the two texts' shingle sets. Where a link fails, it may have displaced a real one: the texts that were connected by such links look
-again, with the complete fingerprint, and all their pairs that meet and aren't joined yet are verified.
+most; at a similarity of 0.8 that holds for 93 of 100 pairs, at 0.9 for 99.7. A bucket hands on the closest links
+that span it, judged by the first 128 bits with room for twice their error; a link counts only if the exact Jaccard similarity
+of the two texts' shingle sets is high enough. Where a link fails, it may have displaced a real one: the texts that were
+connected by such links are looked at again, by complete fingerprints with room for three times their error and by exact similarity,
+all but those that are in one group already. This second look costs the pairs of such texts, but writes none of them out.
 
 Defined cases: a null text or one without words has fingerprint 0 and links like any other; a text of fewer words
 than a shingle is one shingle; repeated rows are linked, being equal; a null id is never the smallest; an empty
@@ -177,6 +178,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4) -> DataFrame:
 WIDE_BITS, HEAD_BITS, WIDE = 512, 128, tuple((i * 21, 21) for i in range(6))
 #: Rows of a bucket whose pairs are all compared at once, at most, and pairs that are compared at once.
 SMALL, WIDE_PAIRS = 1 << 10, 1 << 19
+#: Texts in a part of the second look.
+PART = 512
 _lane_keys = np.random.default_rng(77).integers(0, 1 << 63, WIDE_BITS // 64 - 2, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -367,67 +370,6 @@ def _wide_meet(close: int, most: int):
     return meet
 
 
-def _binary(fp: np.ndarray) -> pa.Array:
-    """Rows of numbers as values of 8 bytes a lane."""
-    data = np.ascontiguousarray(fp)
-    return pa.Array.from_buffers(pa.binary(data.shape[1] * 8), len(data), [None, pa.py_buffer(data)]).cast(pa.binary())
-
-
-def _told_here(a: np.ndarray, b: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-    """Of the buckets in which two fingerprints meet, one tells them: that of the first segment, the smaller of two."""
-    first, told = np.ones(len(bucket), bool), np.zeros(len(bucket), bool)
-    for t in range(len(WIDE)):
-        x, y, value = _segment(a, t), _segment(b, t), bucket // len(WIDE)
-        apart = np.bitwise_count(x ^ y)
-        told |= first & (bucket % len(WIDE) == t) & np.where(apart == 0, value == x, value <= x ^ y ^ value)
-        first &= apart > 2
-    return told
-
-
-def _all_meet(most: int):
-    """All pairs within ``most`` bits of the complete fingerprint that meet in a bucket and aren't in one group yet."""
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def links(bucket: np.ndarray, cell: np.ndarray, fp: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
-            starts = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (cell[1:] != cell[:-1])]))
-            ends = np.append(starts[1:], len(fp))
-            at = np.arange(len(fp))
-            to = np.repeat(ends, ends - starts) - at - 1
-            at, to = at[to > 0], to[to > 0]
-            upto = np.cumsum(to)
-            i = 0
-            while i < len(at):
-                base = upto[i - 1] if i else 0
-                j = max(i + 1, int(np.searchsorted(upto, base + WIDE_PAIRS, "right")))
-                left = np.repeat(at[i:j], to[i:j])
-                right = left + 1 + np.arange(len(left)) - np.repeat(upto[i:j] - to[i:j] - base, to[i:j])
-                new = group[left] != group[right]
-                left, right = left[new], right[new]
-                near = _apart(fp[left], fp[right]) <= most
-                left, right = left[near], right[near]
-                told = _told_here(fp[left], fp[right], bucket[left])
-                if told.any():
-                    yield pa.RecordBatch.from_arrays([_binary(fp[left[told]]), _binary(fp[right[told]])], ["a", "b"])
-                i = j
-
-        for batch in batches:
-            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), _lanes(batch.column(2), WIDE_BITS // 64), batch.column(3).to_numpy()))
-            if sum(len(c[0]) for c in held) < 100_000:
-                continue
-            columns = [np.concatenate(c) for c in zip(*held)]
-            cut = np.flatnonzero((columns[0] != columns[0][-1]) | (columns[1] != columns[1][-1]))
-            cut = cut[-1] + 1 if len(cut) else 0
-            if cut:
-                yield from links(*(c[:cut] for c in columns))
-            held = [tuple(c[cut:] for c in columns)]
-        if held and len(held[0][0]):
-            yield from links(*(np.concatenate(c) for c in zip(*held)))
-
-    return meet
-
-
 def _dealt(nodes: DataFrame) -> DataFrame:
     """``bucket, cell`` and the columns of ``nodes`` (``fp`` and others), sorted by the first two: what each bucket compares."""
     looks = nodes.mapInArrow(_wide_looks, f"bucket long, {', '.join(f'{c} {kind}' for c, kind in nodes.dtypes)}".replace("bigint", "long"))
@@ -456,6 +398,68 @@ def _judged(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", F.coalesce(F.when(close, alike), F.lit(False)).alias("alike"))
 
 
+def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many values each set of ``left`` shares with each of ``right``."""
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    values, at, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.cumsum(many > 1) - 1  # values of one set count for nothing
+    row, at = row[many[at] > 1], place[at[many[at] > 1]]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, int(at[-1]) + 1 if len(at) else 0, 4096):
+        i, j = np.searchsorted(at, [lo, lo + 4096])
+        has = np.zeros((len(sets), 4096), np.float32)
+        has[row[i:j], at[i:j] - lo] = 1
+        out += has[left] @ has[right].T
+    return out
+
+
+def _alike(similarity: float, most: int):
+    """Links with the components of all similar pairs of one cell: of its two parts, or of its only one."""
+
+    def links(cell: pd.DataFrame) -> pd.DataFrame:
+        fp, sets = np.frombuffer(b"".join(cell["long"]), "<u8").reshape(len(cell), -1), [np.asarray(g, np.int64) for g in cell["grams"]]
+        group, size = pd.factorize(cell["group"])[0], np.array([len(s) for s in sets])
+        left, right = np.flatnonzero(cell["first"]), np.flatnonzero(~cell["first"])
+        right = right if len(right) else left
+        apart = np.stack([np.bitwise_count(fp[right] ^ fp[i]).sum(1, dtype=np.int64) for i in left])
+        ratio = np.minimum(size[left][:, None], size[right]) / np.maximum(np.maximum(size[left][:, None], size[right]), 1)
+        near = (apart <= most) & (group[left][:, None] != group[right]) & (ratio >= similarity)
+        a, b = left[near.any(1)], right[near.any(0)]
+        near = near[near.any(1)][:, near.any(0)]
+        if near.size:
+            both = _shared(sets, a, b)
+            near &= both / np.maximum(size[a][:, None] + size[b] - both, 1) >= similarity
+        i, j = np.nonzero(near)
+        a, b = forest(a[i], b[j]) if len(i) else (a[:0], a[:0])
+        return pd.DataFrame({"a": [fp[x].tobytes() for x in a], "b": [fp[x].tobytes() for x in b]})
+
+    return links
+
+
+def _second_look(nodes: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: verified links with the components of all similar pairs of ``nodes`` (``long, root, group``) that share a root but no group.
+
+    A root's texts are dealt over parts of about PART; a pair of parts is a cell, which compares shingle sets where they are, so no
+    pair of texts is written out. A group larger than a part has parts of its own, which aren't compared with one another.
+    """
+    sizes = durable(nodes.groupBy("root", "group").agg(F.count("*").alias("n")), "open-groups")
+    small = sizes.filter(F.col("n") <= PART).groupBy("root").agg(F.sum("n").alias("n_small"))
+    sizes = join_checked(sizes, small, ["root"], "left")
+    large = F.col("n") > PART
+    own = F.struct(F.coalesce(F.when(large, F.col("group")), F.lit(0)).alias("of"), large.alias("large"), F.pmod(F.when(large, F.xxhash64("long")).otherwise(F.xxhash64("group")), F.ceil(F.when(large, F.col("n")).otherwise(F.col("n_small")) / PART)).alias("i"))
+    dealt = durable(join_checked(nodes, sizes, ["root", "group"]).select("root", "group", "long", own.alias("part")), "open-dealt")
+    parts = durable(dealt.select("root", "part").distinct(), "open-parts")
+    pairs = parts.join(parts.select("root", F.col("part").alias("other")), "root").filter("part <= other AND NOT (part.large AND other.large AND part.of = other.of)")
+    cell = F.xxhash64("root", "part", "other").alias("cell")
+    firsts = pairs.select("root", "part", cell, F.lit(True).alias("first"))
+    seconds = pairs.filter("part < other").select("root", F.col("other").alias("part"), cell, F.lit(False).alias("first"))
+    cells = durable(firsts.unionByName(seconds), "open-cells")
+    rows = dealt.join(grams, "long").join(cells, ["root", "part"]).select("cell", "first", "group", "long", "grams")
+    return rows.groupBy("cell").applyInPandas(_alike(similarity, wide_distance(similarity, WIDE_BITS, 3)), "a binary, b binary")
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``doc_id, text_, root``: a row for each row of ``docs``, with 16 bytes for its text; similar texts share a root, directly
     or over others."""
@@ -474,7 +478,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     # texts with the same complete fingerprint are one
     distinct = durable(prints.groupBy("long").agg(F.min("text_").alias("text_")).withColumn("fp", F.substring("long", 1, HEAD_BITS // 8)), "distinct-fingerprints")
     heads = durable(distinct.groupBy("fp").agg(F.min("long").alias("first")), "heads")
-    close, most = (wide_distance(similarity, HEAD_BITS, e) for e in (-1, 1.5))
+    close, most = (wide_distance(similarity, HEAD_BITS, e) for e in (-1, 2))
     met = _dealt(heads.select("fp")).mapInArrow(_wide_meet(close, most), "a binary, b binary").distinct()
     for c in ("a", "b"):
         met = met.join(heads.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}")), c)
@@ -488,13 +492,12 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     links = judged.filter("alike").select("a", "b")
     failed = judged.filter("not alike")
     if not failed.isEmpty():
-        # A link that failed may have displaced a real one: where one did, all pairs that meet and aren't joined yet are judged.
+        # A link that failed may have displaced a real one: where one did, all pairs that aren't joined yet are compared.
         joined = components(judged.select("a", "b"))
-        open_ = joined.join(failed.select(F.col("a").alias("id")).join(joined, "id").select("root").distinct(), "root").select("id")
-        groups = components(links)
-        open_ = durable(open_.join(groups, "id", "left").select(F.col("id").alias("fp"), F.xxhash64(F.coalesce("root", "id")).alias("group")), "open-texts")
-        more = durable(_dealt(open_).mapInArrow(_all_meet(wide_distance(similarity, WIDE_BITS, 2)), "a binary, b binary").distinct(), "more-pairs")
-        links = links.unionByName(durable(_judged(more, grams, similarity).filter("alike").select("a", "b"), "more-links"))
+        open_ = joined.join(failed.select(F.col("a").alias("id")).join(joined, "id").select("root").distinct(), "root")
+        groups = components(links).select("id", F.col("root").alias("group"))
+        open_ = open_.join(groups, "id", "left").select(F.col("id").alias("long"), F.xxhash64("root").alias("root"), F.xxhash64(F.coalesce("group", "id")).alias("group"))
+        links = links.unionByName(durable(_second_look(durable(open_, "open-texts"), grams, similarity), "more-links"))
     roots = components(links).select(F.col("id").alias("long"), "root")
     return prints.join(roots, "long", "left").select("doc_id", "text_", F.coalesce("root", "long").alias("root"))
 
