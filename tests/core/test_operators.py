@@ -13,7 +13,8 @@ from weir.operators import keyed
 from weir.operators.asof import asof_join
 from weir.operators.intervals import interval_join
 from weir.plans import pipeline
-from weir.plans.durable import discard, durable, fresh_path, join_checked
+from weir.plans.durable import discard, durable, fresh_path, join_checked, shared_dir
+from weir.sinks.files import once_per_batch
 from weir.sources import files, polls
 from weir.streaming import runs
 
@@ -57,6 +58,18 @@ def test_intervals_at_their_bounds(spark):
     assert sorted(map(tuple, got)) == [(0, 1), (1, 1), (1, 4), (2, 4), (3, 4), (4, 4)]
 
 
+def test_intervals_of_any_length_make_few_rows(spark):
+    points = spark.createDataFrame([(i, float(i) * 37.3) for i in range(300)], "p int, x double")
+    rows = [(i, float(i * 11), float(i * 11 + 2**i)) for i in range(20)] + [(99, None, 1.0), (98, 0.0, None)]
+    spans = spark.createDataFrame(rows, "s int, a double, b double")
+    got = interval_join(points, spans, [], "x", "a", "b", 1.0)
+    want = sorted((i, s) for i in range(300) for s, a, b in rows[:20] if a <= i * 37.3 < b)
+    assert sorted(map(tuple, got.select("p", "s").collect())) == want
+    dealt = interval_join(spans.select(F.col("a").alias("x")), spans, [], "x", "a", "b", 1.0)
+    assert "CartesianProduct" not in dealt._jdf.queryExecution().executedPlan().toString() and "NestedLoop" not in dealt._jdf.queryExecution().executedPlan().toString()
+    assert interval_join(points, spans.filter("false"), [], "x", "a", "b").count() == 0
+
+
 def test_latest_and_top_with_ties(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("a", 2, "z"), (None, 5, None), ("b", None, "n")], "k string, o int, v string")
     assert sorted(((r["k"] or ""), r["v"]) for r in keyed.latest(df, ["k"], ["o", "v"]).collect()) == [("", None), ("a", "z"), ("b", "n")]
@@ -134,6 +147,81 @@ def test_pipeline_in_batch_and_as_a_stream(spark, sf):
         files.read(spark, "avro", path, files.EVENTS)
 
 
+def test_a_name_is_registered_once(spark):
+    for kind, of in ((pipeline.source, pipeline.SOURCES), (pipeline.transform, pipeline.TRANSFORMS), (pipeline.sink, pipeline.SINKS)):
+        taken = next(iter(of))
+        before = of[taken]
+        with pytest.raises(ValueError, match="already"):
+            kind(taken)(lambda *a, **k: None)
+        assert of[taken] is before
+    with pytest.raises(ValueError, match="already"):
+        pipeline.serializer("json", None, None)
+
+
+def test_damaged_text_is_kept_apart(spark):
+    df = spark.createDataFrame([('{"a": 1}',), ("{broken",), ('{"a": "x"}',), (None,)], "value string")
+    good, bad = (pipeline.TRANSFORMS["decode"](df, serializer="json", schema="a int", damaged=d).collect() for d in (False, True))
+    assert [r["a"] for r in good] == [1, None] and sorted(r["value"] for r in bad) == ['{"a": "x"}', "{broken"]
+
+
+@pytest.mark.parametrize("when", ["half", "all"])
+def test_a_crash_inside_a_batch_loses_and_doubles_nothing(spark, sf, monkeypatch, when):
+    """The sink dies in the third batch, after half of its rows or all of them are written; the next run delivers the batch again."""
+    path, out, checkpoint = (fresh_path(spark, x) for x in ("crash-in", "crash-out", "crash-checkpoint"))
+    died = []
+
+    def fragile(df, at, partition_by=(), mode="errorifexists"):
+        if at.endswith("batch=2") and not died:
+            died.append(at)
+            (df.filter("event_id % 2 = 0") if when == "half" else df).write.mode(mode).parquet(at)
+            raise OSError("the disk is gone")
+        df.write.mode(mode).parquet(at)
+
+    monkeypatch.setitem(pipeline.SINKS, "fragile", fragile)
+    list(slices(spark, path, sf, range(4)))
+    p = pipeline.Pipeline(("files", {"fmt": "parquet", "path": path, "schema": files.EVENTS, "files_per_batch": 1}))
+    with pytest.raises(Exception, match="the disk is gone"):
+        p.start(spark, "fragile", out, checkpoint).awaitTermination()
+    assert died and spark.read.parquet(f"{out}/batch=*").count() < 10_000
+    p.start(spark, "fragile", out, checkpoint).awaitTermination()
+    got = spark.read.parquet(f"{out}/batch=*")
+    assert (got.count(), got.select("event_id").distinct().count()) == (10_000, 10_000)
+
+
+def test_state_survives_a_crash_inside_a_batch(spark, sf):
+    path, out, checkpoint = (fresh_path(spark, x) for x in ("state-in", "state-out", "state-checkpoint"))
+    list(slices(spark, path, sf, range(4)))
+    hours = runs.timed(runs.rows(spark, path, files.EVENTS), "ts", "10 minutes").groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n")).select("w.start", "n")
+    put, died = once_per_batch(out), []
+
+    def fragile(batch, i):
+        put(batch, i)
+        if i == 2 and not died:
+            died.append(i)
+            raise OSError("the power is out")
+
+    start = lambda: hours.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(fragile).start()
+    with pytest.raises(Exception, match="the power is out"):
+        start().awaitTermination()
+    start().awaitTermination()
+    got = {r["start"]: r["n"] for r in spark.read.parquet(f"{out}/batch=*").collect()}
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    want = {r["h"]: r["n"] for r in events.groupBy(F.date_trunc("hour", "ts").alias("h")).agg(F.count("*").alias("n")).collect()}
+    assert len(got) >= len(want) - 2 and all(want[h] == n for h, n in got.items())
+
+
+def test_no_local_folder_on_a_cluster(spark):
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Session)
+
+
 def test_durable_tables_and_checked_joins(spark):
     df = durable(spark.range(10).withColumn("v", F.col("id") * 2), "t")
     assert df.count() == 10

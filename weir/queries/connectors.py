@@ -39,6 +39,26 @@ def encoded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.select(jsonrows.decode(F.col("line"), files.EVENTS).alias("r")).select(*(F.col("r")[c].alias(c) for c in events.columns))
 
 
+def _through(serializer: str):
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        source = ("files", {"fmt": "parquet", "path": f"{sf_dir}/events.parquet", "schema": files.EVENTS})
+        return Pipeline(source, [("encode", {"serializer": serializer}), ("decode", {"serializer": serializer, "schema": files.EVENTS})]).frame(spark)
+
+    f.__name__ = f"serialized_{serializer}"
+    return f
+
+
+for _name in ("json", "csv"):
+    query(EVENTS_SQL)(_through(_name))
+
+
+@query("SELECT event_type, count(*) AS n, round(max(value), 4) AS top FROM events WHERE value > 10 GROUP BY 1")
+def sql_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A step of a pipeline as SQL text."""
+    source = ("files", {"fmt": "parquet", "path": f"{sf_dir}/events.parquet", "schema": files.EVENTS})
+    return Pipeline(source, [("sql", {"query": "SELECT event_type, count(*) AS n, round(max(value), 4) AS top FROM {rows} WHERE value > 10 GROUP BY event_type"})]).frame(spark)
+
+
 @query("SELECT event_id, 'not json ' || CAST(event_id AS VARCHAR) AS line FROM events WHERE event_id % 10 = 3")
 def damaged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that don't fit the schema are kept apart, whole."""

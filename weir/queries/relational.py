@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weir.catalog import query, table
+from weir.operators.intervals import interval_join
 
 
 @query("""SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base,
@@ -103,11 +104,13 @@ def left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").join(done, F.col("c_custkey") == F.col("o_custkey"), "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("n"), F.max("o_orderdate").alias("last_day"))
 
 
-@query("""SELECT s_suppkey, c_custkey, s_nationkey, c_nationkey FROM (SELECT * FROM supplier WHERE s_suppkey % 3 = 0) FULL JOIN
-(SELECT * FROM customer WHERE c_custkey % 2 = 0) ON s_suppkey = c_custkey""")
+@query("""SELECT s_class, suppliers, c_class, customers FROM (SELECT CAST(floor(s_acctbal) AS BIGINT) AS s_class, count(*) AS suppliers FROM supplier GROUP BY 1) FULL JOIN
+(SELECT CAST(floor(c_acctbal) AS BIGINT) AS c_class, count(*) AS customers FROM customer GROUP BY 1) ON s_class = c_class""")
 def full_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, c = table(spark, sf_dir, "supplier").filter("s_suppkey % 3 = 0"), table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0")
-    return s.join(c, F.col("s_suppkey") == F.col("c_custkey"), "full").select("s_suppkey", "c_custkey", "s_nationkey", "c_nationkey")
+    """Suppliers and customers by whole units of their balance; either side has classes that the other lacks."""
+    s = table(spark, sf_dir, "supplier").groupBy(F.floor("s_acctbal").alias("s_class")).agg(F.count("*").alias("suppliers"))
+    c = table(spark, sf_dir, "customer").groupBy(F.floor("c_acctbal").alias("c_class")).agg(F.count("*").alias("customers"))
+    return s.join(c, F.col("s_class") == F.col("c_class"), "full").select("s_class", "suppliers", "c_class", "customers")
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 49)")
@@ -121,6 +124,21 @@ def anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey", "o_custkey")
 
 
+@query("SELECT c_custkey, c_nationkey FROM customer WHERE nullif(c_nationkey, 5) NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000)")
+def not_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null-aware: a null on the left is in no result, and a null on the right would leave none."""
+    text = "SELECT c_custkey, c_nationkey FROM {c} WHERE nullif(c_nationkey, 5) NOT IN (SELECT s_nationkey FROM {s} WHERE s_acctbal > 9000)"
+    return spark.sql(text, c=table(spark, sf_dir, "customer"), s=table(spark, sf_dir, "supplier"))
+
+
+@query("""SELECT p_partkey, n_nationkey FROM part JOIN nation ON p_retailprice >= 900 + n_nationkey * 50 AND p_retailprice < 900 + n_nationkey * 50 + CASE WHEN n_nationkey = 7 THEN 700 ELSE 100 END""")
+def band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A join without an equality: prices in overlapping bands of different widths."""
+    low = F.col("n_nationkey") * 50.0 + 900
+    bands = table(spark, sf_dir, "nation").select("n_nationkey", low.alias("low"), (low + F.when(F.col("n_nationkey") == 7, 700.0).otherwise(100.0)).alias("high"))
+    return interval_join(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), bands, [], "p_retailprice", "low", "high", 100).select("p_partkey", "n_nationkey")
+
+
 @query("""SELECT a.s_suppkey AS a_key, b.s_suppkey AS b_key, a.s_nationkey AS nation FROM supplier a JOIN supplier b
 ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey AND abs(a.s_acctbal - b.s_acctbal) < 1000""")
 def theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weir.catalog import query, table
+from weir.functions import python
 
 
 @query(r"""SELECT c_custkey, upper(c_name) AS up, lower(c_name) AS low, CAST(length(c_name) AS INT) AS len, substr(c_name, 2, 5) AS part, reverse(c_name) AS rev,
@@ -66,3 +67,20 @@ def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exploded_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word"))
     return words.filter(F.length("word") > 12).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey, array_to_string(list_reverse(string_split(p_name, ' ')), ' ') AS turned FROM part")
+def python_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", python.words_reversed("p_name").alias("turned"))
+
+
+@query("SELECT l_orderkey, round(exp(avg(ln(l_extendedprice))), 4) AS middle FROM lineitem GROUP BY 1")
+def python_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order has a few lines."""
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.round(python.geometric_mean("l_extendedprice"), 4).alias("middle"))
+
+
+@query("SELECT event_id, key, json_extract_string(props, '$.' || key) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events)")
+def python_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.udtf.register("json_pairs", python.JsonPairs)
+    return spark.sql("SELECT event_id, p.key, p.value FROM {events} AS e, LATERAL json_pairs(e.props) AS p", events=table(spark, sf_dir, "events"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weir.catalog import query, table
+from weir.operators.keyed import sessions
 from weir.plans.durable import fresh_path
 from weir.queries.ordered import PIPELINE_SQL, SESSION_SQL, windowed
 from weir.sources.files import EVENTS
@@ -13,15 +14,21 @@ from weir.sources.ticks import Ticks
 from weir.streaming import runs
 
 
-def _events(spark: SparkSession, sf_dir: str, slices: int = 4) -> DataFrame:
-    """The events as files that landed one after the other, a micro-batch each."""
+#: Rows of a file that lands, about.
+FILE_ROWS = 1_000_000
+
+
+def _events(spark: SparkSession, sf_dir: str, order: tuple[int, ...] = (0, 1, 2, 3)) -> DataFrame:
+    """The events as slices that landed one after the other, a micro-batch each; those without an id are in the last slice."""
     events = table(spark, sf_dir, "events")
     path = fresh_path(spark, "landed")
-    last = events.agg(F.max("event_id")).first()[0] or 0
-    for k in range(slices):
-        part = events.filter(F.floor(F.col("event_id") * slices / F.lit(last + 1)) == k)
-        part.coalesce(1).write.mode("append").parquet(path)  # a slice is one arriving file
-    return runs.rows(spark, path, EVENTS)
+    n, last = events.agg(F.count("*"), F.max("event_id")).first()
+    step, files = -(-((last or 0) + 1) // len(order)), n // (len(order) * FILE_ROWS) + 1
+    for k in order:
+        of = (F.col("event_id") >= k * step) & (F.col("event_id") < (k + 1) * step)
+        part = events.filter(of | F.col("event_id").isNull() if k == len(order) - 1 else of)
+        part.repartition(files).write.mode("append").parquet(path)
+    return runs.rows(spark, path, EVENTS, files)
 
 
 def _ntz(df: DataFrame, *columns: str) -> DataFrame:
@@ -36,12 +43,35 @@ def stream_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(SESSION_SQL)
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = runs.timed(_events(spark, sf_dir), "ts", "10 minutes")
-    by = events.groupBy("user_id", F.session_window("ts", "30 minutes").alias("s")).agg(F.count("*").alias("n"))
-    by = by.select("user_id", F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "n")
+    by = sessions(runs.timed(_events(spark, sf_dir), "ts", "10 minutes"), "user_id", "ts", "30 minutes")
     return _ntz(runs.drain(by, "stream-sessions", "complete"), "session_start", "session_end")
 
 
+CLOSED_SQL = f"""SELECT * FROM ({PIPELINE_SQL}) WHERE hour + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"""
+
+
+@query(CLOSED_SQL)
+def stream_closed_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship transform in append mode: an hour leaves the state, once, when the watermark has passed it."""
+    return _ntz(runs.drain(windowed(runs.timed(_events(spark, sf_dir), "ts", "10 minutes")), "stream-closed-hours"), "hour")
+
+
+@query(f"SELECT * FROM ({SESSION_SQL}) WHERE session_end <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)")
+def stream_closed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions in append mode; those that the watermark hasn't passed stay open."""
+    by = sessions(runs.timed(_events(spark, sf_dir), "ts", "10 minutes"), "user_id", "ts", "30 minutes")
+    return _ntz(runs.drain(by, "stream-closed-sessions"), "session_start", "session_end")
+
+
+@query("""SELECT date_trunc('hour', ts) AS hour, count(*) AS n FROM (SELECT *, (SELECT (max(event_id) + 4) // 4 FROM events) AS step FROM events)
+WHERE event_id // step <> 1 GROUP BY 1 HAVING date_trunc('hour', min(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
+def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second slice lands last, when the watermark has passed all of its rows: they are dropped."""
+    events = runs.timed(_events(spark, sf_dir, (0, 2, 3, 1)), "ts", "10 minutes")
+    hours = events.groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("hour"), "n")
+    return _ntz(runs.drain(hours, "stream-late"), "hour")
+
+
 @query("SELECT event_id, user_id, event_type FROM events")
 def stream_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event arrives twice and leaves once."""

@@ -18,10 +18,14 @@ def write(df: DataFrame, fmt: str, path: str, partition_by: tuple[str, ...] = ()
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
 
 
-def once_per_batch(path: str, fmt: str = "parquet") -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: a batch that is run again after a failure replaces its own folder and nothing else."""
+def once_per_batch(path: str, fmt: str = "parquet", sink: Callable[..., None] | None = None) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: a batch that is run again after a failure replaces its own folder and nothing else.
+
+    sink: ``f(df, path, mode=...)`` in place of files of ``fmt``; it must replace what is at ``path`` where the mode is ``overwrite``.
+    """
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        write(batch, fmt, f"{path}/batch={batch_id}", mode="overwrite")
+        at = f"{path}/batch={batch_id}"
+        sink(batch, at, mode="overwrite") if sink else write(batch, fmt, at, mode="overwrite")
 
     return put
