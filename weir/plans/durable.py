@@ -40,14 +40,30 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def _at(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def exists(spark: SparkSession, name: str) -> bool:
+    """Whether there is a file or folder, in any store that Spark reads."""
+    fs, path = _at(spark, name)
+    return fs.exists(path)
+
+
+def delete(spark: SparkSession, name: str) -> None:
+    """Delete a folder that this library wrote."""
+    fs, path = _at(spark, name)
+    fs.delete(path, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a durable table that no later plan reads."""
     spark = df.sparkSession
     root = f"{shared_dir(spark)}/weir/"
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/weir/" in name and root.split(":")[-1].lstrip("/") in name:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            delete(spark, name)
 
 
 def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", rows: int = 50_000) -> DataFrame:
