@@ -10,6 +10,7 @@ import pytest
 
 from weir.llm import fingerprint_index, repeats, suffixes
 from weir.llm.queries import QUERIES
+from weir.plans.durable import fresh_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -104,11 +105,56 @@ def test_empty_tables(spark):
     assert fingerprint_index.repeated_words(none).count() == 0
 
 
+def grams(spark, *x):
+    return spark.createDataFrame([(g,) for g in x], "gram long")
+
+
+def told(df):
+    return sorted(r["gram"] for r in df.collect())
+
+
 def test_index_meets_history_and_compacts(spark):
-    index = fingerprint_index.FingerprintIndex(fanout=2)
-    grams = lambda *x: spark.createDataFrame([(g,) for g in x], "gram long")
-    assert index.add(grams(1, 2, 3)).count() == 0
-    assert {r["gram"] for r in index.add(grams(3, 4, 4)).collect()} == {3, 4}
-    assert {r["gram"] for r in index.add(grams(1, 5)).collect()} == {1}
+    index = fingerprint_index.FingerprintIndex(spark, fresh_path(spark, "index"))
+    assert told(index.add(grams(spark, 1, 2, 3))) == []
+    assert told(index.add(grams(spark, 3, 4, 4))) == [3, 4]
+    assert told(index.add(grams(spark, 1, 5))) == [1]
     assert [len(level) for level in index.levels] == [1, 1]
-    assert {r["gram"] for r in index.repeated().collect()} == {1, 3, 4}
+    assert told(index.repeated()) == [1, 3, 4]
+    assert told(index.add(grams(spark))) == [] and [len(level) for level in index.levels] == [0, 0, 1]
+
+
+def test_an_index_is_closed_opened_and_added_to(spark):
+    rng = random.Random(4)
+    batches = [[rng.randrange(-3000, 3000) for _ in range(700)] for _ in range(5)]
+    path = fresh_path(spark, "index")
+    for k, batch in enumerate(batches):
+        index = fingerprint_index.FingerprintIndex(spark, path, buckets=4 if k == 0 else None)
+        assert (index.version, index.buckets) == (k, 4)
+        before = {g for b in batches[:k] for g in b}
+        assert told(index.add(grams(spark, *batch))) == sorted(g for g, n in Counter(batch).items() if n > 1 or g in before)
+        for level in index.levels:  # another session has no tables of the catalog, only the folder
+            for name in level:
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
+    again = fingerprint_index.FingerprintIndex(spark, path)
+    assert told(again.repeated()) == sorted(g for g, n in Counter(g for b in batches for g in b).items() if n > 1)
+    assert [len(level) for level in again.levels] == [1, 0, 1]
+
+
+def test_runs_are_joined_without_a_shuffle(spark):
+    index = fingerprint_index.FingerprintIndex(spark, fresh_path(spark, "index"), buckets=8)
+    for k in range(3):
+        index.add(grams(spark, *range(k * 50, k * 50 + 100)))
+    a, b = index.runs()
+    plan = a.join(b.hint("merge"), "gram", "left")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_a_crash_before_the_manifest_leaves_the_version_before(spark, monkeypatch):
+    path = fresh_path(spark, "index")
+    fingerprint_index.FingerprintIndex(spark, path).add(grams(spark, 1, 2))
+    index = fingerprint_index.FingerprintIndex(spark, path)
+    monkeypatch.setattr(index, "MANIFEST", "no schema")
+    with pytest.raises(Exception):
+        index.add(grams(spark, 2, 3))
+    index = fingerprint_index.FingerprintIndex(spark, path)
+    assert index.version == 1 and told(index.add(grams(spark, 2, 3))) == [2]
