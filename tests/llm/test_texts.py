@@ -1,5 +1,6 @@
 """Classification, decontamination, PII, urls and mixing."""
 
+import math
 import random
 import re
 
@@ -11,11 +12,62 @@ from weir.llm import decontamination, langid, mixing, pii, toxicity, urls
 from weir.llm.queries import QUERIES, URL_RULES
 
 
-def test_toxicity_separates_labelled_documents(spark, sf):
-    got = QUERIES["op4_toxicity_ordinal"](spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id")
-    n = {(r["toxic"], r["rejected"]): r["count"] for r in got.groupBy("toxic", "rejected").count().collect()}
-    assert n.get((1, True), 0) >= 0.9 * (n.get((1, True), 0) + n.get((1, False), 0))
-    assert n.get((0, True), 0) <= 0.005 * n[0, False]
+def test_toxicity_of_documents_whose_labels_were_kept_away(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = toxicity.fit(docs, labels.filter(~held_out))
+    got = toxicity.score(docs.join(labels.filter(held_out), "doc_id"), model)
+    n = {(r["toxic"], r["bad"]): r["count"] for r in got.groupBy("toxic", (F.col("grade") > 0).alias("bad")).count().collect()}
+    assert n[1, True] >= 0.85 * (n[1, True] + n.get((1, False), 0)) and n.get((0, True), 0) <= 0.01 * n[0, False]
+    assert len(model.thresholds) == 1  # the labels have two grades
+
+
+def likelihood(x, y, weight, w, cut, l2=1.0):
+    """The penalised log-likelihood of cumulative links, row by row."""
+    total = -l2 / 2 * sum(v * v for v in w)
+    for row, grade, k in zip(x, y, weight):
+        eta = sum(w[f] for f in row)
+        upto = lambda g: 1.0 if g >= len(cut) else 0.0 if g < 0 else 1 / (1 + math.exp(eta - cut[g]))  # noqa: B023, E731
+        total += k * math.log(upto(grade) - upto(grade - 1))
+    return total
+
+
+def test_ordinal_fit_is_the_likeliest(spark):
+    rng = np.random.default_rng(3)
+    x = [rng.integers(0, 5, rng.integers(0, 6)).tolist() for _ in range(300)]
+    eta = np.array([sum([1.2, 0.6, 0.0, -0.4, -1.0][f] for f in r) for r in x])
+    y = np.searchsorted([0.2, 1.0], eta + rng.logistic(size=300))
+    weight = rng.uniform(0.5, 1.0, 300)
+    w, cut = toxicity.fit_ordinal([np.array(r, int) for r in x], y, weight, 5, steps=3000, rate=0.01)
+    best = likelihood(x, y, weight, w, cut)
+    for _ in range(60):  # it is concave: what no step betters is the top
+        step = rng.standard_normal(7) * rng.choice([0.3, 0.05])
+        assert likelihood(x, y, weight, w + step[:5], np.sort(cut + step[5:])) < best + 0.01
+    quick = toxicity.fit_ordinal([np.array(r, int) for r in x], y, weight, 5)
+    assert likelihood(x, y, weight, *quick) > best - 0.05
+
+
+def test_grades_come_from_the_labels(spark):
+    rows = [(1, 0), (2, 0), (3, 1), (4, None), (None, 1), (2, 1)]
+    labels = spark.createDataFrame(rows, "doc_id long, toxic int")
+    assert {r["doc_id"]: r["grade"] for r in toxicity.grades(labels).collect()} == {1: 0, 2: 1, 3: 1}
+    assert [r["grade"] for r in toxicity.grades(labels.withColumn("grade", F.lit(7))).collect()] == [7] * 4
+
+
+def test_graded_labels_give_a_threshold_each(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(1200):
+        g = i % 4
+        rows.append((i, " ".join([f"n{rng.randrange(500)}" for _ in range(20)] + rng.sample([f"bad{k}" for k in range(6)], 2 * g)), g))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, own int")
+    model = toxicity.fit(docs, docs.filter("doc_id < 800").select("doc_id", F.col("own").alias("grade")))
+    assert len(model.thresholds) == 3 and model.thresholds == sorted(model.thresholds)
+    got = toxicity.score(docs.filter("doc_id >= 800"), model).select("own", "grade", "severity").collect()
+    assert sum(r["own"] == r["grade"] for r in got) >= 0.95 * len(got)
+    means = [np.mean([r["severity"] for r in got if r["own"] == g]) for g in range(4)]
+    assert all(abs(m - g) < 0.3 for g, m in enumerate(means))
 
 
 def test_ordinal_thresholds_ascend_and_share_weights():
@@ -43,6 +95,47 @@ def test_language_accuracy_on_held_out(spark):
     assert n > 2000 and right >= 0.98 * n
 
 
+def plain_ngrams(text):
+    """Buckets of the n-grams of letters and single blanks, one by one."""
+    if not text:
+        return []
+    out = []
+    padded = f" {text.lower()} "
+    kept = [c if c.isalpha() else " " for i, c in enumerate(padded) if c.isalpha() or (i > 0 and padded[i - 1].isalpha()) or (i + 1 < len(padded) and padded[i + 1].isalpha())]
+    codes, m = [ord(c) for c in kept], 0xFFFFFFFF
+    for n in (2, 3):
+        for i in range(len(codes) - n + 1):
+            h = codes[i] * 0x9E3779B1 & m
+            for c in codes[i + 1 : i + n]:
+                h = ((h ^ (h >> 15)) * 0x85EBCA77 + c) & m
+            h = h * 0xC2B2AE3D & m
+            out.append((h ^ (h >> 16)) % langid.BUCKETS)
+    return out
+
+
+def test_naive_bayes_against_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    rows = docs.collect()
+    langs, matrix = langid.fit(docs.filter("doc_id % 2 = 0"))
+    learned = {}  # rows of one id and text are one; here ids are unique
+    for r in rows:
+        if r["doc_id"] % 2 == 0:
+            learned.setdefault(r["lang"], []).append(plain_ngrams(r["text"]))
+    assert langs == sorted(learned)
+    counts = {lang: np.bincount(np.array([b for t in texts for b in t], int), minlength=langid.BUCKETS) + 0.5 for lang, texts in learned.items()}
+    prior = {lang: math.log(len(texts) / sum(map(len, learned.values()))) for lang, texts in learned.items()}
+    logs = {lang: np.log(c / c.sum()) for lang, c in counts.items()}
+    got = {r["doc_id"]: r for r in langid.predict(docs, langs, matrix).collect()}
+    for r in rows[:400]:
+        grams = plain_ngrams(r["text"])
+        ll = {lang: prior[lang] + logs[lang][grams].sum() for lang in langs}
+        best = max(ll, key=ll.get)
+        temper = min(1, 30 / max(len(grams), 1))
+        score = 1 / sum(math.exp((v - ll[best]) * temper) for v in ll.values())
+        assert got[r["doc_id"]]["lang_pred"] == (best if grams else "und")
+        assert got[r["doc_id"]]["score"] == pytest.approx(score if grams else 0, abs=1e-3)
+
+
 def test_language_edge_cases(spark):
     docs = spark.createDataFrame([(1, None, "en", 1), (2, "", "en", 2), (3, "123 !?", "en", 3), (4, "hello there", None, 4), (None, "où était", "fr", 5), (6, "the other word", "en", 6)], "doc_id long, text string, lang string, score int")
     langs, matrix = langid.fit(docs)

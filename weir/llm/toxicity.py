@@ -6,10 +6,14 @@ have them. Features are screened by how strongly they go with the labels, which
 out of the sum. The model is fitted on a bounded sample of labelled rows (``sample_rows``, taken in the
 order of a hash of the id); every text is scored whole.
 
-Defined cases: a null text or one without words has severity 0 and grade 0; labels that are null or have no
-document are left out, and of several labels of one document the most severe counts; without labelled rows,
-or with one grade only, all get severity 0; repeated rows are scored alike; other columns are kept, and
-``severity``, ``p_toxic`` and ``grade`` are replaced if they exist.
+Grades come from the labels alone: from their ``grade`` where there is one, with a threshold below each grade but the lowest; else
+from ``toxic``, which has two grades, so that the model has one threshold and the expected severity is the probability of being toxic.
+
+Defined cases: a null text or one without words has severity 0 and grade 0; very long texts count each word once; labels that
+are null or have no document are left out, and of several labels of one document the most severe counts; without labelled rows,
+or with one grade only, all get severity 0; a document whose odds are even at a threshold gets the lower grade; features that
+tie are taken in the order of their number; repeated rows are scored alike; other columns are kept, and ``severity``,
+``p_toxic`` and ``grade`` are replaced if they exist.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weir.plans.durable import unused
+from weir.plans.durable import durable, unused
 
 WORD = re.compile(r"\w+")
 #: Lengths of the word beginnings that are features beside the word, and the number of hash buckets.
@@ -41,15 +45,14 @@ def _words(text: str | None) -> set[str]:
     return set(WORD.findall(text.lower())) if text else set()
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per task: in how many texts, clean and toxic, each feature occurs."""
-    counts: dict[int, list[int]] = {}
+def _tokenised(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The features of each text, one for each of its words that has it, and a number that copies of a text share."""
     for batch in batches:
+        rows = []
         for text, grade in zip(batch["text"], batch["grade"]):
-            for f in {f for w in _words(text) for f in _features(w)}:
-                counts.setdefault(f, [0, 0])[int(grade > 0)] += 1
-    rows = [(f, c, t) for f, (c, t) in counts.items()]
-    yield pd.DataFrame(rows, columns=["feature", "clean", "toxic"]).astype("int64")
+            words = _words(text)
+            rows.append(([f for w in words for f in _features(w)], int(grade), min(map(xxhash.xxh64_intdigest, words), default=0) >> 1))
+        yield pd.DataFrame(rows, columns=["x", "grade", "like"])
 
 
 @dataclass
@@ -101,54 +104,48 @@ def fit_ordinal(x: list[np.ndarray], y: np.ndarray, weight: np.ndarray, n_featur
     return params[:n_features], params[n_features] + np.concatenate([[0.0], np.cumsum(gaps)])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, z: float = 6.0, least: int = 4, severe: int = 3) -> Model:
-    """Fit on at most ``sample_rows`` labelled documents. labels: ``doc_id, toxic``, perhaps ``grade``.
+def grades(labels: DataFrame) -> DataFrame:
+    """``doc_id, grade``: the most severe grade of each labelled document."""
+    grade = F.col("grade" if "grade" in labels.columns else "toxic").cast("int")
+    return labels.filter(F.col("doc_id").isNotNull() & grade.isNotNull()).groupBy("doc_id").agg(F.greatest(F.max(grade), F.lit(0)).alias("grade"))
+
 
-    Without a ``grade`` column, toxic documents with ``severe`` or more screened toxic words get grade 2,
-    the other toxic ones grade 1, clean ones grade 0.
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, z: float = 6.0, least: int = 4, features: int = 20_000) -> Model:
+    """Fit on at most ``sample_rows`` labelled documents. labels: ``doc_id`` and ``grade``, or ``toxic``.
+
+    z, least: how strongly a feature must go with toxic labels, and in how many documents it must be; features: the strongest ones
+    that a model has at most.
     """
-    graded = "grade" in labels.columns
-    grade = F.col("grade" if graded else "toxic").cast("int")
-    known = labels.filter(F.col("doc_id").isNotNull() & grade.isNotNull()).groupBy("doc_id").agg(F.greatest(F.max(grade), F.lit(0)).alias("grade"))
-    known = known.orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id").limit(sample_rows)  # the bound
+    known = grades(labels).orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id").limit(sample_rows)  # the bound
     sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "grade")
-    counts = sample.mapInPandas(_count, "feature long, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    sample = durable(sample.mapInPandas(_tokenised, "x array<int>, grade int, like long"), "toxicity-sample")  # texts are read once
     n, bad = sample.agg(F.count("*"), F.count_if(F.col("grade") > 0)).first()
     if not bad or bad == n:
         return Model({}, [0.0])
-    share = (F.col("clean") + F.col("toxic")) / F.lit(float(n))
-    gap = F.col("toxic") / F.lit(float(bad)) - F.col("clean") / F.lit(float(n - bad))
+    has = sample.select(F.explode(F.array_distinct("x")).alias("feature"), (F.col("grade") > 0).alias("toxic"))
+    counts = has.groupBy("feature").agg(F.count("*").alias("all"), F.count_if("toxic").alias("bad"))
+    share = F.col("all") / F.lit(float(n))
+    gap = F.col("bad") / F.lit(float(bad)) - (F.col("all") - F.col("bad")) / F.lit(float(n - bad))
     score = gap / F.sqrt(share * (1 - share) * F.lit(1 / bad + 1 / (n - bad)))
-    strong = counts.filter((F.col("clean") + F.col("toxic") >= least) & (share < 1) & (F.abs(score) >= z)).select("feature", score.alias("z"))
-    picked = strong.orderBy(F.abs("z").desc(), "feature").limit(20_000).toPandas()
+    strong = counts.filter((F.col("all") >= least) & (share < 1) & (F.abs(score) >= z)).select("feature", score.alias("z"))
+    picked = strong.orderBy(F.abs("z").desc(), "feature").limit(features).toPandas()
     at = {int(f): i for i, f in enumerate(picked["feature"])}
-    toxic_side = {f for f, s in zip(at, picked["z"]) if s > 0}
 
     def reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for text, g in zip(batch["text"], batch["grade"]):
-                words = _words(text)
-                found = [(f, w) for w in words for f in _features(w) if f in at]
-                terms = len({w for f, w in found if f in toxic_side})
-                # copies of one text count once between them
-                rows.append(([at[f] for f, _ in found], int(g), terms, min(map(xxhash.xxh64_intdigest, words), default=0) >> 1))
-            yield pd.DataFrame(rows, columns=["x", "grade", "terms", "like"])
-
-    got = sample.mapInPandas(reduced, "x array<int>, grade int, terms int, like long").toPandas()  # at most sample_rows
-    got = got.assign(x=got["x"].map(lambda x: tuple(sorted(x)))).sort_values(["like", "grade", "terms", "x"], ignore_index=True)  # reruns agree
-    y = got["grade"].to_numpy()
-    if not graded:
-        y = np.where(y > 0, np.where(got["terms"] >= severe, 2, 1), 0)
-    y = np.searchsorted(np.unique(y), y) if len(np.unique(y)) <= y.max() else y  # grades without rows have no threshold
-    weight = 1 / got.groupby("like")["like"].transform("size").to_numpy()
+            yield batch.assign(x=batch["x"].map(lambda x: sorted(at[f] for f in x if f in at)))
+
+    got = sample.mapInPandas(reduced, sample.schema).toPandas()  # at most sample_rows
+    got = got.assign(x=got["x"].map(tuple)).sort_values(["like", "grade", "x"], ignore_index=True)  # reruns agree
+    y = np.unique(got["grade"].to_numpy(), return_inverse=True)[1] if got["grade"].nunique() <= got["grade"].max() else got["grade"].to_numpy()  # grades without rows have no threshold
+    weight = 1 / got.groupby("like")["like"].transform("size").to_numpy()  # copies of one text count once between them
     w, cut = fit_ordinal([np.asarray(r, np.int64) for r in got["x"]], y, weight, len(at))
     return Model({f: float(w[i]) for f, i in at.items()}, [float(c) for c in cut])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``severity`` (expected grade), ``p_toxic`` (of grade 1 or more) and ``grade`` (the likeliest)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 20,000 weights
+    """``docs`` with ``severity`` (expected grade), ``p_toxic`` (of grade 1 or more) and ``grade`` (the median)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # as many weights as ``fit`` took features
 
     @F.pandas_udf(T.StructType([T.StructField("severity", T.DoubleType()), T.StructField("p_toxic", T.DoubleType()), T.StructField("grade", T.IntegerType())]))
     def graded(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -161,8 +158,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             if not shared.value.weights:
                 above = np.zeros_like(above)
             above[~some] = 0
-            each = np.hstack([np.ones((len(eta), 1)), above]) - np.hstack([above, np.zeros((len(eta), 1))])
-            yield pd.DataFrame({"severity": above.sum(1), "p_toxic": above[:, 0], "grade": each.argmax(1).astype("int32")})
+            yield pd.DataFrame({"severity": above.sum(1), "p_toxic": above[:, 0], "grade": (above > 0.5).sum(1).astype("int32")})
 
     at = unused(docs, "scored_")
     return docs.withColumn(at, graded("text")).withColumns({c: F.col(at)[c] for c in ("severity", "p_toxic", "grade")}).drop(at)
