@@ -154,7 +154,9 @@ def edit(a, b):
     return min(row)
 
 
-def test_decontamination_against_brute_force(spark):
+@pytest.mark.parametrize("slice_bytes", [16 << 20, 150])
+def test_decontamination_against_brute_force(spark, monkeypatch, slice_bytes):
+    monkeypatch.setattr(decontamination, "SLICE_BYTES", slice_bytes)  # in one slice, and in several
     rng = random.Random(2)
     vocabulary = [f"w{i}" for i in range(80)]
     items = [(i, " ".join(rng.choice(vocabulary) for _ in range(n))) for i, n in enumerate([5, 8, 15, 22, 40, 40])]
@@ -169,8 +171,10 @@ def test_decontamination_against_brute_force(spark):
                 item[p : p + 1] = rng.choice([[], [rng.choice(vocabulary)], [item[p], "zz"]])
             words[len(words) // 2 : len(words) // 2] = item
         docs.append(" ".join(words).upper())
-    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(docs)], "doc_id long, text string, items string")
-    got = {r["doc_id"]: set(r["items"]) for r in decontamination.contaminated(df, bench).collect()}
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(docs)], "doc_id long, text string, items string, row_ int")
+    found = decontamination.contaminated(df, bench)
+    assert set(found.columns) == {*df.columns, "contaminated"} and len(found.columns) == 5
+    got = {r["doc_id"]: set(r["items"]) for r in found.collect()}
     want = {i: {k for k, b in items if edit(b.split(), re.findall(r"\w+", (t or "").lower())) <= int(0.2 * len(b.split()) + 1e-9)} for i, t in enumerate(docs)}
     assert all(got[i] <= want[i] for i in want)
     total = sum(map(len, want.values()))

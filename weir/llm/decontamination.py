@@ -9,10 +9,11 @@ the target recall. What meets is verified by exact edit distance on the text's w
 Two conditions that every true window fulfils keep most windows out of the walk: enough of its words are words of
 items, and it holds a run of item words that the edits must have left intact. They need no walk and lose nothing.
 
-Words are runs of letters, digits and underscores, lower-cased. Items of fewer than ``least_words`` words are ignored.
+Words are runs of letters, digits and underscores, lower-cased. Items of fewer than ``least_words`` words aren't looked for, as
+such runs of words are in many clean texts.
 
-Defined cases: a null or empty text has no passage of an item; null or empty items are ignored; repeated items are all
-named; repeated rows are judged alike; without items nothing is contaminated; other columns are kept, and
+Defined cases: a null or empty text has no passage of an item; very long texts are searched whole; null or empty items are
+ignored; an item at exactly the limit of edits is found; repeated items are all named; repeated rows are judged alike; without items nothing is contaminated; other columns are kept, and
 ``items`` and ``contaminated`` are replaced if they exist.
 """
 
@@ -22,18 +23,22 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weir.plans.durable import durable, unused
+
 WORD = re.compile(r"\w+")
 #: Share of embedded places in which a passage at the limit of edits is taken to differ, and places in a hash.
 DIFFER, PLACES = 0.35, 4
 #: Words of text walked over at once, and bytes of items in one broadcast.
-CHUNK, SLICE_BYTES = 1 << 21, 64 << 20
+CHUNK, SLICE_BYTES = 1 << 21, 16 << 20
 
 
 def repetitions(recall: float) -> int:
@@ -90,6 +95,9 @@ class Items:
     seeds: dict[int, np.ndarray] = field(default_factory=dict)
 
     def prepare(self) -> None:
+        """Number the words and build the tables; a worker that has them from a task before does nothing."""
+        if self.sizes:
+            return
         for w in (w for ws in self.words for w in ws):
             self.number.setdefault(w, len(self.number) + 1)
         by: dict[int, list[int]] = {}
@@ -184,8 +192,8 @@ def _runs_at(ids: np.ndarray, at: np.ndarray, run: int) -> np.ndarray:
     return _hash(np.stack([ids[at + k] for k in range(run)], 1))
 
 
-def _found(docs: DataFrame, items: Items) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+def _finder(shared: Broadcast):
+    """A function that names the items found in each text."""
 
     @F.pandas_udf("array<long>")
     def find(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -201,19 +209,38 @@ def _found(docs: DataFrame, items: Items) -> DataFrame:
                     some, size = [], 0
             yield pd.Series(out[: len(texts)])
 
-    return docs.withColumn("items", F.concat("items", find("text")))
+    return find
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.95, least_words: int = 5) -> DataFrame:
-    """``docs`` with ``items``, the ids of benchmark items found in the text, and ``contaminated``."""
+    """``docs`` with ``items``, the ids of benchmark items found in the text, and ``contaminated``.
+
+    A benchmark of any size passes in slices of at most about SLICE_BYTES, one after the other: only one is on the driver and broadcast.
+    """
+    spark = docs.sparkSession
     kept = benchmark.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text")
-    total = kept.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    slices = total // SLICE_BYTES + 1  # a benchmark of any size passes in slices of bounded size
-    docs = docs.withColumn("items", F.array().cast("array<long>"))
-    for s in range(slices):
+    slices = (kept.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SLICE_BYTES + 1
+
+    def sliced(s: int) -> Broadcast | None:
         rows = kept.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == s).collect()
         words = [(r["item_id"], WORD.findall(r["text"].lower())) for r in rows]
         words = [(i, w) for i, w in words if len(w) >= least_words]
-        if words:
-            docs = _found(docs, Items([i for i, _ in words], [w for _, w in words], similarity, recall))
-    return docs.withColumn("items", F.array_sort("items")).withColumn("contaminated", F.size("items") > 0)
+        return spark.sparkContext.broadcast(Items([i for i, _ in words], [w for _, w in words], similarity, recall)) if words else None
+
+    none = F.array().cast("array<long>")
+    if slices == 1:
+        shared = sliced(0)
+        docs = docs.withColumn("items", F.array_sort(_finder(shared)("text")) if shared else none)
+    else:
+        row, more = unused(docs, "row_"), unused(docs, "more_")
+        docs = durable(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")  # numbers that stay, as they are written
+        found = []
+        for s in range(slices):
+            if shared := sliced(s):
+                found.append(durable(docs.select(row, _finder(shared)("text").alias(more)).filter(F.size(more) > 0), "found-items"))
+                shared.destroy()
+        if found:
+            each = reduce(DataFrame.unionByName, found).groupBy(row).agg(F.array_sort(F.flatten(F.collect_list(more))).alias(more))
+            docs = docs.join(each, row, "left").withColumn("items", F.coalesce(more, none)).drop(more)
+        docs = (docs if found else docs.withColumn("items", none)).drop(row)
+    return docs.withColumn("contaminated", F.size("items") > 0)
