@@ -211,6 +211,14 @@ def anchors(docs: DataFrame, kind: Kind) -> DataFrame:
     return docs.filter("text is not null").select(short_key(), "text").mapInArrow(find, "key binary, place long, start long, stop long, core long, block long")
 
 
+def with_texts(docs: DataFrame, info: DataFrame) -> DataFrame:
+    """Each distinct text that ``info`` (``key`` and more) is about, as a table in its place."""
+    texts = docs.filter("text is not null").select(short_key(), "text").dropDuplicates(["key"])
+    texts = durable(texts.join(info, "key"), "texts", compression="zstd")
+    discard(info)
+    return texts
+
+
 def sharing(found: DataFrame, cores: DataFrame) -> DataFrame:
     """The rows of ``found`` whose core is in ``cores``, as a table in place of ``found``."""
     rows = durable(found.join(cores.select("core"), "core", "left_semi"), "runs")
@@ -311,9 +319,7 @@ def confirm(docs: DataFrame, found: DataFrame, kind: Kind, kept: Callable[[str,
     is_open = F.collect_set(F.when(F.col("open"), F.struct("place", "start", "stop", "weight"))).alias("open")
     info = durable(runs.groupBy("key").agg(whole, is_open), "run-info")
     discard(runs)
-    texts = docs.filter("text is not null").select(short_key(), "text").dropDuplicates(["key"])
-    texts = durable(texts.join(info, "key"), "texts", compression="zstd")
-    discard(info)
+    texts = with_texts(docs, info)
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -330,6 +336,12 @@ def confirm(docs: DataFrame, found: DataFrame, kind: Kind, kept: Callable[[str,
     single = windows.filter("weight = 1").join(again, ["core", "name"], "left_semi").select("key", "start", (F.col("start") + kind.length).alias("stop"))
     spans = _spans(closer.filter("hit").select("key", "start", "stop").unionByName(single))
 
+    return marked(texts.select("key", "text", "whole").join(spans, "key", "left"), kept)
+
+
+def marked(texts: DataFrame, kept: Callable[[str, list[tuple[int, int]]], bytes]) -> DataFrame:
+    """``key, spans, kept`` from ``key, text, whole, spans``: the whole runs and other spans of a text as one set of maximal spans."""
+
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -345,5 +357,4 @@ def confirm(docs: DataFrame, found: DataFrame, kind: Kind, kept: Callable[[str,
             yield pa.RecordBatch.from_pylist(out, schema)
 
     schema = pa.schema([("key", pa.binary()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("kept", pa.binary())])
-    marked = texts.select("key", "text", "whole").join(spans, "key", "left")
-    return marked.mapInArrow(mark, "key binary, spans array<struct<start:long,stop:long>>, kept binary")
+    return texts.mapInArrow(mark, "key binary, spans array<struct<start:long,stop:long>>, kept binary")
