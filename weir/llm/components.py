@@ -1,4 +1,8 @@
-"""Connected components of a table of links, by contraction."""
+"""Connected components of a table of links, by contraction.
+
+Defined cases: repeated and reversed links are one; an id linked with itself only is a component; links with a null id are left out;
+which id of a component is its root is fixed by hashes, so ties in rank go to the smaller id; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -20,7 +24,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     and parents are tables in shared storage; the driver sees only whether links are left.
     """
     a, b = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-    first = durable(links.select(a, b).distinct(), "links")
+    first = durable(links.filter("a is not null and b is not null").select(a, b).distinct(), "links")
     alone = first.filter("a = b").select(F.col("a").alias("id"), F.col("a").alias("root"))  # but for those with other links
     left = first.filter("a <> b")
     steps: list[DataFrame] = []

@@ -6,7 +6,7 @@ batches of texts are scored at once in numpy. It is fitted on a bounded sample o
 (``sample_rows``, in the order of a hash of id and text); every text is scored whole.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; with no labelled text to learn
-from all are ``und``; a tie goes to the first language in code point order; repeated rows get the same
+from all are ``und``; very long texts count all their n-grams; a tie goes to the first language in code point order; repeated rows get the same
 answer; other columns are kept, and ``lang_pred`` and ``score`` are replaced if they exist.
 """
 

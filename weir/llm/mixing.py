@@ -11,7 +11,7 @@ a histogram of the order's values, and only the bin where it falls is sorted.
 
 Defined cases: a null text or one without words has size 0 and gives no words; a null source is a source of
 its own, last; repeated rows each count as a document and share one random number; an empty table gives
-no rows; other columns are ignored.
+no rows; very long texts are counted whole; documents that tie in the order follow by size and id; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -20,7 +20,7 @@ connected by such links are looked at again, by complete fingerprints with room
 all but those that are in one group already. This second look costs the pairs of such texts, but writes none of them out.
 
 Defined cases: a null text or one without words has fingerprint 0 and links like any other; a text of fewer words
-than a shingle is one shingle; repeated rows are linked, being equal; a null id is never the smallest; an empty
+than a shingle is one shingle; very long texts count all their shingles, in parts; repeated rows are linked, being equal; a null id is never the smallest; an empty
 table gives no rows; other columns are ignored.
 """
 
