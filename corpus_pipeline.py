@@ -3,6 +3,9 @@ passages go, private values become pseudonyms, and sources are mixed to their ta
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last return the columns of ``docs``. ``run``
 writes what a stage returns and reads it again for the next one, so that no stage computes another one's work again.
+
+In every stage, columns beside ``doc_id``, ``text`` and ``source`` may be missing, null or more than usual, and have any name; they are
+carried and never read, but for ``n_chars``. Very long texts are treated whole. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -34,24 +37,38 @@ def _unpacked(df: DataFrame, columns: list[str], **more: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are more likely not toxic, by a model of this table's labels."""
+    """Documents that are more likely not toxic, by a model of this table's labels.
+
+    A null or empty text stays; so does all where no label says that anything is toxic; even odds stay; repeated rows stay or go together.
+    """
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), sample_rows=12_000)
     return _unpacked(toxicity.score(_packed(docs), model).filter("p_toxic <= 0.5"), docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-copies: five-word shingles, similarity 0.8 or more."""
+    """The document with the smallest id of each group of near-copies: five-word shingles, similarity 0.8 or more.
+
+    Texts without words, null ones too, are one group; a text of fewer than five words is one shingle; of repeated rows one stays; a null
+    id is larger than any other, and of rows with the same id and different texts, the one whose text's hash is smaller stays.
+    """
     return simhash.representatives(docs, shingle=5, similarity=0.8)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of a benchmark item."""
+    """Documents without a passage of a benchmark item.
+
+    A null or empty text stays; null and empty items and those of fewer than five words are ignored; a passage at exactly the limit of
+    edits counts; repeated rows stay or go together.
+    """
     found = decontamination.contaminated(_packed(docs), _table(spark, sf_dir, "benchmark"), similarity=0.8, recall=0.95, least_words=5)
     return _unpacked(found.filter(~F.col("contaminated")), docs.columns)
 
 
 def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with pseudonyms for private values; ``n_chars`` counts the new text."""
+    """All documents, with pseudonyms for private values; ``n_chars`` counts the new text.
+
+    A null text stays null, an empty one empty; repeated rows change alike.
+    """
     changed = _unpacked(pii.pseudonymise(_packed(docs), key="weir-test-key"), docs.columns)
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -59,7 +76,11 @@ def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with their size in words, their source's size and target, and the words taken."""
+    """The documents that the mix takes, with their size in words, their source's size and target, and the words taken.
+
+    A null source is a source of its own, the last; a null text or one without words has nothing to take and goes; repeated rows each count
+    as a document, share one random number, and are told apart by their place.
+    """
     mixed = mixing.mix(docs, weights=(5, 2, 1), share=1.5, cap=2.0).filter("taken > 0")
 
     def keyed(df: DataFrame, size: Column) -> DataFrame:
