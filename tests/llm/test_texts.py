@@ -280,6 +280,13 @@ def test_mixing(spark):
     assert mixing.mix(df.filter("false")).count() == 0
 
 
+def test_mixing_documents_without_ids_and_repeated_rows(spark):
+    rows = [(None, f"t{i} w w w w", "a") for i in range(300)] + [(7, "same w w w w", "b")] * 300 + [(1000 + i, "w w w w w", "c") for i in range(300)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5), weights=(1,), share=1.3)
+    per = got.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.count("*").alias("n")).collect()
+    assert all(r["n"] == 300 and abs(r["taken"] - r["target"]) <= 5 for r in per)
+
+
 def test_mixing_query(spark, sf):
     got = QUERIES["op1_mix_pareto"](spark, sf)
     off = got.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).filter(F.abs(F.col("taken") - F.col("target")) > 0.03 * F.col("target"))

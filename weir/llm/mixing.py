@@ -10,7 +10,8 @@ No source is ever gathered in one task: the point of the order at which the word
 a histogram of the order's values, and only the bin where it falls is sorted.
 
 Defined cases: a null text or one without words has size 0 and gives no words; a null source is a source of
-its own, last; repeated rows each count as a document and share one random number; an empty table gives
+its own, last; a document without an id has the random number of its text; repeated rows each count as a document, share one
+random number and are taken one by one; an empty table gives
 no rows; very long texts are counted whole; documents that tie in the order follow by size and id; other columns are ignored.
 """
 
@@ -83,7 +84,7 @@ def _fill(state: DataFrame, room: DataFrame, held: Callable[[DataFrame], DataFra
     asked = asked.join(held(stop), "key", "left")
     last = F.coalesce(F.col("bin") == F.col("stop"), F.lit(False))
     front = F.col("bin").isNotNull() & (F.col("stop").isNull() | (F.col("bin") < F.col("stop")))
-    within = Window.partitionBy("key").orderBy("p", "size", "doc_id")  # one bin of a source
+    within = Window.partitionBy("key").orderBy("p", "size", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # one bin of a source
     sure = asked.filter(~last).withColumn("extra", F.col("extra") | front)
     fits = asked.filter(last).withColumn("extra", F.sum("size").over(within) <= F.col("left"))
     return sure.select(state.columns).unionByName(fits.select(state.columns))
@@ -93,7 +94,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     """``doc_id, source, size, source_size, target, taken`` for a table with ``doc_id, text, source``."""
     # "key" stands for the source in joins, so that a null joins too.
     key = F.xxhash64(F.lit(seed), F.coalesce("source", F.lit("")), F.col("source").isNull()).alias("key")
-    sized = durable(docs.select("doc_id", "source", words(F.col("text")).alias("size"), key), "mix-sizes")
+    mark = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("mark")
+    sized = durable(docs.select("doc_id", "source", words(F.col("text")).alias("size"), key, mark), "mix-sizes")
     per = durable(
         targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
         .withColumn("certain", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))
@@ -103,14 +105,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     )
     few = per.limit(FEW + 1).count() <= FEW
     held = F.broadcast if few else (lambda x: x)
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("order"), F.col("doc_id").cast("string")).cast("binary"))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("order"), F.col("mark")).cast("binary"))
     uniform = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + 0.5) / F.lit(float(1 << 52))
     # A document longer than the words left over can't be in whole: its probability shrinks with its length.
     chance = F.least(F.col("rest") / F.col("source_size"), F.col("rest") / F.col("size"), F.lit(1 - 1e-9))
     q = (F.col("u") / (1 - F.col("u"))) / (F.col("chance") / (1 - F.col("chance")))
     state = sized.join(held(per), "key").withColumn("u", uniform)
     state = state.withColumn("chance", F.when((F.col("size") > 0) & (F.col("rest") > 0), chance)).withColumn("p", F.coalesce(F.least(q / (1 + q), F.lit(1 - 1e-12)), F.lit(0.0)))
-    state = state.select(*sized.columns, "p", F.lit(False).alias("extra"))
+    state = state.select("doc_id", "source", "size", "key", "p", F.lit(False).alias("extra"))
     for i in range(ROUNDS):
         used = state.groupBy("key").agg(F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0)).alias("used"))
         room = per.join(used, "key").select("key", F.floor(F.col("rest") - F.col("used") + 0.5).alias("room")).filter(F.col("room") > 0)

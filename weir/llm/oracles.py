@@ -70,13 +70,13 @@ def _fill(i: int) -> str:
     last = f"f{i - 1}"
     return f"""
 room{i} AS (SELECT sid, rest, floor(rest - sum(CASE WHEN extra THEN size ELSE 0 END) + 0.5) AS room FROM {last} GROUP BY sid, rest),
-asked{i} AS (SELECT rid, sum(f.size) OVER (PARTITION BY f.sid ORDER BY f.p, f.size, f.doc_id) <= room AS takes FROM {last} f JOIN room{i} r ON f.sid = r.sid WHERE NOT extra AND size > 0 AND size <= room AND room > 0),
+asked{i} AS (SELECT rid, sum(f.size) OVER (PARTITION BY f.sid ORDER BY f.p, f.size, f.doc_id ROWS UNBOUNDED PRECEDING) <= room AS takes FROM {last} f JOIN room{i} r ON f.sid = r.sid WHERE NOT extra AND size > 0 AND size <= room AND room > 0),
 f{i} AS (SELECT f.* REPLACE (extra OR coalesce(takes, false) AS extra) FROM {last} f LEFT JOIN asked{i} a ON f.rid = a.rid)"""
 
 
 #: Targets by filling up sources in order, then Pareto's order source by source.
 PARETO_MIX = rf"""
-WITH d AS (SELECT doc_id, source, row_number() OVER () AS rid, CAST(len({WORDS}) AS BIGINT) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) AS mark, row_number() OVER () AS rid, CAST(len({WORDS}) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
 w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS sid, CAST(sum(source_size) OVER () AS DOUBLE) AS all_size, source_size * 2.0::DOUBLE AS limit_words,
 CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM s),
@@ -86,7 +86,7 @@ t AS (SELECT *, CASE WHEN level > limit_words / weight THEN limit_words ELSE lea
 c AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS certain FROM t),
 q AS (SELECT *, target - certain * source_size AS rest FROM c),
 u AS (SELECT d.doc_id, d.rid, d.size, q.source, sid, source_size, target, certain, rest,
-(CAST('0x' || substr(md5('17|order' || coalesce('|' || CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS x,
+(CAST('0x' || substr(md5('17|order|' || mark), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS x,
 CASE WHEN size > 0 AND rest > 0 THEN least(rest / source_size, rest / size, 1 - 1e-9::DOUBLE) END AS chance FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
 o AS (SELECT *, (x / (1 - x)) / (chance / (1 - chance)) AS odds FROM u),
 f0 AS (SELECT *, coalesce(least(odds / (1 + odds), 1 - 1e-12::DOUBLE), 0) AS p, false AS extra FROM o),
