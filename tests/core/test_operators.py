@@ -85,6 +85,17 @@ def test_counters_wrap_and_reset(spark):
     assert got[1]["per_second"] == pytest.approx(5 / 60)
 
 
+@pytest.mark.parametrize("seconds", [60, 3600, 10**9])
+def test_counters_over_stretches_of_time(spark, seconds):
+    rows = [("a" if i % 3 else None, at(i * 13 % 997), Decimal(i * i % 500)) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, t timestamp_ntz, v decimal(20,0)")
+    got = {(r["k"], r["t"]): r["delta"] for r in keyed.counter_rates(df, ["k"], "t", "v", 16, seconds).collect()}
+    for k in ("a", None):
+        own = sorted((t, v) for key, t, v in rows if key == k)
+        want = [None] + [b - a if b >= a else None for (_, a), (_, b) in zip(own, own[1:])]
+        assert [got[k, t] for t, _ in own] == [w if w is None or w >= 0 else None for w in want]
+
+
 def test_polls_keep_all_bits(spark):
     path = fresh_path(spark, "polls-test")
     lines = ['{"device":"d","oid":"1.3.6.1.7","type":"Counter64","value":"18446744073709551615","ts":"2024-01-01T00:00:00.000001"}', '{"device":"d","oid":"1.3","type":"OctetString","value":"up","ts":null}', "{broken", '{"device":"d","oid":"x","type":"Gauge32","value":"not a number","ts":"2024-01-01T00:00:00.000000"}']

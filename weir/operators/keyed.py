@@ -25,18 +25,27 @@ def sessions(df: DataFrame, key: str, time: str, gap: str) -> DataFrame:
     return df.groupBy(key, s.alias("s")).agg(F.count("*").alias("n")).select(key, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "n")
 
 
-def counter_rates(df: DataFrame, key: list[str], time: str, value: str, bits: int = 64) -> DataFrame:
+def counter_rates(df: DataFrame, key: list[str], time: str, value: str, bits: int = 64, bucket_seconds: int = 86_400) -> DataFrame:
     """``delta`` and ``per_second`` since the key's row before, for counters that wrap around at 2 ** ``bits``.
 
     A value below the one before is taken as one wrap if that makes a step of less than half the range, else as a reset, when
-    both are null. They are null for a key's first row and where the value is null.
+    both are null. They are null for a key's first row and where the value is null. Rows of one time follow by value, rows without a
+    time come first. A key is cut into stretches of time, each of which begins with the last row of the stretch before, so a key with
+    very many rows is dealt over its stretches.
     """
-    before = Window.partitionBy(*key).orderBy(time)
     wide = "decimal(38,0)"
-    step = F.col(value).cast(wide) - F.lag(value).over(before).cast(wide)
+    place = F.struct(F.col(time).alias("at_"), F.col(value).cast(wide).alias("value_")).alias("own_")
+    bucket = F.floor(F.unix_micros(F.col(time).cast("timestamp")) / F.lit(bucket_seconds * 1_000_000)).alias("bucket_")
+    rows = df.select(*key, bucket, place, F.struct(*(c for c in df.columns if c not in ("delta", "per_second"))).alias("row_"))
+    order = Window.partitionBy(*key).orderBy("bucket_")  # a row for each stretch
+    last = rows.groupBy(*key, "bucket_").agg(F.max("own_").alias("own_")).withColumn("own_", F.lag("own_").over(order)).filter("own_ is not null")
+    carried = last.select(*key, "bucket_", "own_", F.lit(None).cast(rows.schema["row_"].dataType).alias("row_"))
+    before = Window.partitionBy(*key, "bucket_").orderBy(F.col("row_").isNotNull(), "own_")
+    met = rows.unionByName(carried).withColumn("last_", F.lag("own_").over(before)).filter(F.col("row_").isNotNull())
+    step = F.col("own_.value_") - F.col("last_.value_")
     wrapped = step + F.lit(str(1 << bits)).cast(wide)
     half = F.lit(str(1 << (bits - 1))).cast(wide)
     delta = F.when(step >= 0, step).when(wrapped < half, wrapped).cast("decimal(20,0)")
-    micros = F.unix_micros(F.col(time).cast("timestamp")) - F.lag(F.unix_micros(F.col(time).cast("timestamp"))).over(before)
-    seconds = micros / F.lit(1e6)
-    return df.withColumn("delta", delta).withColumn("per_second", F.when(seconds > 0, F.col("delta").cast("double") / seconds))
+    seconds = (F.unix_micros(F.col("own_.at_").cast("timestamp")) - F.unix_micros(F.col("last_.at_").cast("timestamp"))) / F.lit(1e6)
+    met = met.select("row_.*", delta.alias("delta"), seconds.alias("seconds_"))
+    return met.withColumn("per_second", F.when(F.col("seconds_") > 0, F.col("delta").cast("double") / F.col("seconds_"))).drop("seconds_")
