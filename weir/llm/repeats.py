@@ -1,12 +1,15 @@
-"""Repeated windows of a fixed number of tokens (bytes or words), shared by the two substring operators.
-
-A window is sorted by its digits, the most telling first. The first digit is the gram of the window with the least
-hash: equal windows have the same one at the same place, and one gram serves a run of windows, so the first pass sorts
-one row for each run (``anchors``) and drops the runs whose digit is unique. A run that is there twice as a whole is
-settled: all its windows repeat. Only runs that share their digit with others but not the whole, as at the edges of a
-repeated passage, are cut into narrower classes of windows, which have a longer digit in common, and of those the ones
-that are still open into single windows (``confirm``). All steps are counts and joins over rows of a few bytes; a passage
-that very many texts share is counted before the shuffle. Windows are named by 128 bits of two polynomial hashes.
+"""Windows of a fixed number of tokens (bytes or words): their anchors, for both substring operators, and what of them repeats.
+
+A window's anchor is its gram with the least hash: equal windows have the same one at the same place, and one anchor serves a run
+of windows, so there is one row for each run (``anchors``). A run that is there twice as a whole is settled: all its windows
+repeat (``settle``). Only runs that share their anchor with others but not the whole, as at the edges of a repeated passage,
+have to be looked at closer. ``confirm``, for words, cuts them into narrower classes of windows, which have a longer stretch in
+common, and of those the ones that are still open into single windows; for bytes, ``suffixes`` sorts them. All steps are counts
+and joins over rows of a few bytes; a passage that very many texts share is counted before the shuffle. Windows are named by
+128 bits of two polynomial hashes.
+
+Defined cases: a null text has no windows; very long texts are read in parts that overlap by a window; grams that tie count by
+place; repeated rows have the same windows.
 """
 
 from __future__ import annotations
