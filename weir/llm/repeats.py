@@ -182,6 +182,13 @@ def least_grams(kind: Kind, piece: Piece) -> tuple[np.ndarray, np.ndarray]:
     return (np.minimum(rest[s], begin[s + w - 1]) & places).astype(np.int64), hashes
 
 
+def parted(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that a worker holds fewer texts as Python objects at once."""
+    for batch in batches:
+        for lo in range(0, len(batch), rows):
+            yield batch.slice(lo, rows)
+
+
 def text_key(text: str = "text"):
     return F.unhex(F.sha2(F.col(text).cast("binary"), 256))
 
@@ -198,7 +205,7 @@ def anchors(docs: DataFrame, kind: Kind) -> DataFrame:
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parted(batches):
             keys, texts = batch.column("key"), batch.column("text").to_pylist()
             for piece in pieces(kind, texts):
                 s = piece.starts
@@ -325,7 +332,7 @@ def confirm(docs: DataFrame, found: DataFrame, kind: Kind, kept: Callable[[str,
     texts = with_texts(docs, info)
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parted(batches):
             yield from _classes(kind, batch.to_pylist())
 
     rows = texts.filter(F.size("open") > 0).select("key", "text", "open").mapInArrow(classes, "key binary, start long, stop long, core long, block long, weight long, names binary")
@@ -346,7 +353,7 @@ def marked(texts: DataFrame, kept: Callable[[str, list[tuple[int, int]]], bytes]
     """``key, spans, kept`` from ``key, text, whole, spans``: the whole runs and other spans of a text as one set of maximal spans."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parted(batches):
             out = []
             for r in batch.to_pylist():
                 merged: list[tuple[int, int]] = []

@@ -42,7 +42,7 @@ def _contexts(gram: int):
     """For each open run the bytes before its gram, last first, and those behind it."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in repeats.parted(batches):
             out = []
             for r in batch.to_pylist():
                 data = r["text"].encode()
