@@ -34,6 +34,8 @@ from weir.plans.durable import durable, unused
 WORD = re.compile(r"\w+")
 #: Lengths of the word beginnings that are features beside the word, and the number of hash buckets.
 BEGINNINGS, BUCKETS = (4, 5), 1 << 22
+#: Words whose weight a task remembers, about.
+KNOWN = 300_000
 
 
 def _features(word: str) -> tuple[int, ...]:
@@ -66,6 +68,8 @@ class Model:
         """The linear score of each text and whether it has words; known: word weights so far."""
         eta, some = np.zeros(len(texts)), np.zeros(len(texts), bool)
         for i, text in enumerate(texts):
+            if len(known) > KNOWN:
+                known.clear()
             words = _words(text)
             some[i] = bool(words)
             for w in words:
@@ -152,8 +156,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         known: dict[str, float] = {}
         for texts in series:
             eta, some = shared.value.scores(texts, known)
-            if len(known) > 2_000_000:
-                known.clear()
             above = 1 - _sigmoid(np.array(shared.value.thresholds)[None, :] - eta[:, None])
             if not shared.value.weights:
                 above = np.zeros_like(above)
