@@ -114,11 +114,11 @@ def grades(labels: DataFrame) -> DataFrame:
     return labels.filter(F.col("doc_id").isNotNull() & grade.isNotNull()).groupBy("doc_id").agg(F.greatest(F.max(grade), F.lit(0)).alias("grade"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, z: float = 6.0, least: int = 4, features: int = 20_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, z: float = 6.0, least: int = 4, features: int = 20_000, l2: float = 0.3) -> Model:
     """Fit on at most ``sample_rows`` labelled documents. labels: ``doc_id`` and ``grade``, or ``toxic``.
 
     z, least: how strongly a feature must go with toxic labels, and in how many documents it must be; features: the strongest ones
-    that a model has at most.
+    that a model has at most; l2: how strongly weights are held near 0, chosen on labels kept away from the fit.
     """
     known = grades(labels).orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id").limit(sample_rows)  # the bound
     sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "grade")
@@ -143,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, z: float
     got = got.assign(x=got["x"].map(tuple)).sort_values(["like", "grade", "x"], ignore_index=True)  # reruns agree
     y = np.unique(got["grade"].to_numpy(), return_inverse=True)[1] if got["grade"].nunique() <= got["grade"].max() else got["grade"].to_numpy()  # grades without rows have no threshold
     weight = 1 / got.groupby("like")["like"].transform("size").to_numpy()  # copies of one text count once between them
-    w, cut = fit_ordinal([np.asarray(r, np.int64) for r in got["x"]], y, weight, len(at))
+    w, cut = fit_ordinal([np.asarray(r, np.int64) for r in got["x"]], y, weight, len(at), l2)
     return Model({f: float(w[i]) for f, i in at.items()}, [float(c) for c in cut])
 
 
