@@ -76,8 +76,7 @@ def python_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_orderkey, round(exp(avg(ln(l_extendedprice))), 4) AS middle FROM lineitem GROUP BY 1")
 def python_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An order has a few lines."""
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.round(python.geometric_mean("l_extendedprice"), 4).alias("middle"))
+    return python.geometric_means(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_extendedprice", "middle").withColumn("middle", F.round("middle", 4))
 
 
 @query("SELECT event_id, key, json_extract_string(props, '$.' || key) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events)")
